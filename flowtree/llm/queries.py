@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, toxicity
+from . import neardup, quality, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op9_near_dedup": neardup.op9_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLE: dict[str, str] = {}

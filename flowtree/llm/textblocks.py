@@ -13,7 +13,6 @@ whole; memory per worker is bounded by the block size or the longest single text
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +39,18 @@ def _classes(punctuation: int) -> np.ndarray:
 WORDS, WORDS_AND_MARKS = _classes(0), _classes(2)
 
 
-@lru_cache(maxsize=4)
+_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    if size in _kept:
+        return _kept[size]
     up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
     up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    made = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    if size <= 4 * BLOCK:
+        _kept[size] = made
+    return made
 
 
 def mix(h: np.ndarray) -> np.ndarray:

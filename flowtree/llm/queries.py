@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import neardup, quality, toxicity
+from . import decontaminate, mixing, neardup, quality, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_decontamination": decontaminate.op2_decontamination,
+    "op6_mixing": mixing.op6_mixing,
     "op9_near_dedup": neardup.op9_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op6_mixing": mixing.sql(),
+}

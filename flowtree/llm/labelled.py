@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 PER_CLASS = 2500
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int = PER_CLASS) -> pa.Table:
-    """(doc_id, lang, text, y) of about ``per_class`` labelled documents of each class, in order of doc_id.
+def sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int = PER_CLASS) -> DataFrame:
+    """(doc_id, lang, text, y) of about ``per_class`` labelled documents of each class.
 
     Drawn by a hash of doc_id at the rate that the class counts give, so neither a sort nor a window over all labels
     is needed. The join's small side has at most about 2 x per_class rows, whatever the input. Rows with a null
@@ -26,8 +27,20 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int = PER
         drawn = drawn | ((F.col("y") == y) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, per_class / n)))))
     chosen = lab.where(drawn).dropDuplicates(["doc_id"])
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text")).where("text is not null")
-    table = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text", "y").toArrow()
-    return table.sort_by([("doc_id", "ascending"), ("y", "ascending")])
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text", "y")
+
+
+def fitted(sampled: DataFrame, fit: Callable[[pa.Table], object]) -> dict | None:
+    """The attributes of the model that ``fit`` makes of the sample, in order of doc_id; one task fits, so the driver holds
+    no texts. None if ``fit`` makes none."""
+
+    def run(batches):
+        got = [b for b in batches if b.num_rows]
+        table = pa.Table.from_batches(got) if got else pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()), "text": pa.array([], pa.string()), "y": pa.array([], pa.int32())})
+        model = fit(table.sort_by([("doc_id", "ascending"), ("y", "ascending"), ("text", "ascending")]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(None if model is None else vars(model))], pa.binary())], ["model"])
+
+    return pickle.loads(sampled.repartition(1).mapInArrow(run, "model binary").first().model)  # noqa: S301 - made by our own task
 
 
 def kept(docs: DataFrame, columns: list[str], decide: Callable[[pa.RecordBatch], "object"]) -> DataFrame:

@@ -123,7 +123,8 @@ def fit(table: pa.Table, seed: int = 7) -> Model | None:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = labelled.PER_CLASS) -> Model | None:
-    return fit(labelled.sample(docs, labels, "quality", per_class))
+    got = labelled.fitted(labelled.sample(docs, labels, "quality", per_class), fit)
+    return None if got is None else Model(**got)
 
 
 def score_quality(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -46,6 +46,14 @@ def check_errors(seen: Observation | None, max_errors: int, name: str) -> int:
     return n
 
 
+def check_count(df: DataFrame, failed: Column, max_errors: int, name: str) -> int:
+    """The number of failed rows, by a pass of its own; raises if it is over the bound."""
+    n = df.where(failed).count()
+    if n > max_errors:
+        raise TooManyErrors(f"{name}: {n} rows failed, {max_errors} are tolerated")
+    return n
+
+
 def content_hash(df: DataFrame) -> Column:
     return F.md5(F.to_json(F.struct(*(df[f"`{c}`"] for c in sorted(df.columns)))))
 

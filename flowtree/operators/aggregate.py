@@ -57,10 +57,10 @@ def numbered(df: DataFrame, order: list[str], ranges: int | None = None, name: s
         part = _bucket(at, sorted(set(bounds or [])))
     ranged = df.withColumn("__range", part)
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    starts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    starts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).select(F.col("__range").alias("__start"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
     inside = Window.partitionBy("__range").orderBy(*order)
-    placed = ranged.withColumn("__in", F.row_number().over(inside)).join(F.broadcast(starts), F.col("__range").eqNullSafe(starts["__range"])).drop(starts["__range"])
-    return placed.withColumn(name, F.col("__in") + F.col("__before")).drop("__in", "__before", "__range")
+    placed = ranged.withColumn("__in", F.row_number().over(inside)).join(F.broadcast(starts), F.col("__range") == F.col("__start"))
+    return placed.withColumn(name, F.col("__in") + F.col("__before")).drop("__in", "__before", "__range", "__start")
 
 
 def _bucket(at: Column, bounds: list[float]) -> Column:

@@ -357,6 +357,11 @@ def stay_here(label: str | None = None, condition: Condition = Yes()) -> Step:
 Outputs = dict[str, tuple[str, tuple[str, ...]]]
 
 
+def _unpacked(df: DataFrame, kept: list[str], rows: Column) -> DataFrame:
+    """A row for each struct of an array. By explode: Spark 4.1 can lose the rows of an inline() over pruned nested columns."""
+    return df.select(*kept, F.explode(rows).alias("__row")).select(*kept, "__row.*")
+
+
 @dataclass
 class Relation:
     """Retrieved values, by row of matches: {output: (label, keypath)}; steps' own ``get`` adds to it."""
@@ -383,10 +388,10 @@ class Relation:
         kind = df.schema[key].dataType
         kept = [f"`{c}`" for c in keep or []]
         if isinstance(kind, (T.StructType, T.ArrayType)):
-            return df.select(*kept, F.inline(self._typed(Place(df[f"`{key}`"], kind), steps, out)))
+            return _unpacked(df, kept, self._typed(Place(df[f"`{key}`"], kind), steps, out))
         parsed = df.select(*kept, nodes(_as_text(df, key)).alias("__nodes"))
         rows = self._parsed(F.col("__nodes"), steps, out)
-        return parsed.select(*kept, F.inline(F.when(F.col("__nodes").isNotNull(), rows)))
+        return _unpacked(parsed, kept, F.when(F.col("__nodes").isNotNull(), rows))
 
     def _parsed(self, all_nodes: Column, steps: tuple[Step, ...], out: Outputs) -> Column:
         def value(n: Column, path: tuple[str, ...], to: str) -> Column:

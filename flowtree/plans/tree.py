@@ -20,7 +20,7 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,41 +28,62 @@ from pyspark.sql import types as T
 NODES = "array<struct<nid:int,last:int,parent:int,depth:int,key:string,pos:int,kind:string,path:array<string>,keys:array<string>,v:string>>"
 
 
-def _walk(value: object) -> list[tuple]:
-    """The nodes of a document in pre-order; ``last`` is the greatest nid below."""
-    out: list[list] = []
-    stack: list[tuple] = [(value, -1, 0, None, None, ())]
-    while stack:
-        x, parent, depth, key, pos, path = stack.pop()
-        if parent == -2:
-            out[depth][1] = len(out) - 1
-            continue
-        nid = len(out)
-        kind = {dict: "dict", list: "list", str: "string", bool: "bool", type(None): "null"}.get(type(x), "number")
-        text = x if kind == "string" else None if kind == "null" else json.dumps(x, ensure_ascii=False, separators=(",", ":"))
-        out.append([nid, nid, parent, depth, key, pos, kind, list(path), list(x) if kind == "dict" else [], text])
-        stack.append((None, -2, nid, None, None, ()))
+_STRINGS = pa.list_(pa.string())
+
+
+def _walk(value: object, into: tuple[list, ...]) -> int:
+    """Appends a document's nodes in pre-order, column by column, and returns their number; ``last`` is the greatest nid below."""
+    nids, lasts, parents, depths, names, positions, kinds, paths, keys, texts = into
+    base, dumps = len(nids), json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
+
+    def visit(x: object, parent: int, depth: int, name: str | None, pos: int | None, path: list[str]) -> None:
+        nid = len(nids) - base
+        kind = _KINDS.get(type(x), "number")
+        nids.append(nid)
+        lasts.append(nid)
+        parents.append(parent)
+        depths.append(depth)
+        names.append(name)
+        positions.append(pos)
+        kinds.append(kind)
+        paths.append(path)
+        keys.append(list(x) if kind == "dict" else [])
+        texts.append(x if kind == "string" else None if kind == "null" else dumps(x))
         if kind == "dict":
-            stack += [(v, nid, depth + 1, k, None, (*path, k)) for k, v in reversed(x.items())]
+            for k, v in x.items():
+                visit(v, nid, depth + 1, k, None, [*path, k])
         elif kind == "list":
-            stack += [(v, nid, depth + 1, None, i, (*path, str(i))) for i, v in reversed(list(enumerate(x)))]
-    return [tuple(r) for r in out]
+            for i, v in enumerate(x):
+                visit(v, nid, depth + 1, None, i, [*path, str(i)])
+        else:
+            return
+        lasts[base + nid] = len(nids) - base - 1
+
+    visit(value, -1, 0, None, None, [])
+    return len(nids) - base
+
+
+_KINDS = {dict: "dict", list: "list", str: "string", bool: "bool", type(None): "null"}
+_TYPES = {"nid": pa.int32(), "last": pa.int32(), "parent": pa.int32(), "depth": pa.int32(), "key": pa.string(), "pos": pa.int32(), "kind": pa.string(), "path": _STRINGS, "keys": _STRINGS, "v": pa.string()}
 
 
-def _parse(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        out = []
-        for text in batch:
-            try:
-                out.append(None if text is None else _walk(json.loads(text)))
-            except ValueError:
-                out.append(None)
-        yield pd.Series(out, dtype=object)
+def _parse(texts: pa.Array) -> pa.Array:
+    into = tuple([] for _ in _TYPES)
+    sizes, missing = [0], []
+    for text in texts.to_pylist():
+        try:
+            value = None if text is None else json.loads(text)
+            missing.append(text is None)
+        except (ValueError, RecursionError):
+            missing.append(True)
+        sizes.append(sizes[-1] + (0 if missing[-1] else _walk(value, into)))
+    flat = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(into, _TYPES.values())], list(_TYPES))
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat, mask=pa.array(missing))
 
 
 def nodes(text: Column) -> Column:
     """The nodes of a JSON document in pre-order, the root first; null if it isn't JSON."""
-    return F.pandas_udf(_parse, NODES)(text)
+    return F.arrow_udf(_parse, NODES)(text)
 
 
 def splitter(df: DataFrame, key: str) -> DataFrame:

@@ -26,7 +26,7 @@ def fan_in(inputs: list[DataFrame]) -> DataFrame:
     """All rows of all inputs; columns that an input lacks are null."""
     if not inputs:
         raise ValueError("a node that isn't a source has no input")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), inputs)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.select("*") for df in inputs))
 
 
 def tolerate(df: DataFrame, failed: Column, max_errors: int | None, name: str) -> tuple[DataFrame, Observation | None]:

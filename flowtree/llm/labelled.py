@@ -40,7 +40,8 @@ def fitted(sampled: DataFrame, fit: Callable[[pa.Table], object]) -> dict | None
         model = fit(table.sort_by([("doc_id", "ascending"), ("y", "ascending"), ("text", "ascending")]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(None if model is None else vars(model))], pa.binary())], ["model"])
 
-    return pickle.loads(sampled.repartition(1).mapInArrow(run, "model binary").first().model)  # noqa: S301 - made by our own task
+    got = sampled.repartition(1).mapInArrow(run, "model binary").first()  # none if Catalyst sees that the sample is empty
+    return None if got is None else pickle.loads(got.model)  # noqa: S301 - made by our own task
 
 
 def kept(docs: DataFrame, columns: list[str], decide: Callable[[pa.RecordBatch], "object"]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,12 +51,14 @@ def numbered(df: DataFrame, order: list[str], ranges: int | None = None, name: s
     kind = df.schema[first].dataType
     if ranges is None:
         ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if not isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
-        part = F.coalesce(F.substring(F.col(first).cast("string"), 1, 2), F.lit(""))  # a prefix orders as the text does
+    if isinstance(kind, T.NumericType):
+        at = F.col(f"`{first}`").cast("double")
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        at = F.col(f"`{first}`").cast("timestamp").cast("double")
     else:
-        at = F.col(first).cast("timestamp").cast("double") if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else F.col(first).cast("double")
-        bounds = df.select(F.percentile_approx(at, [k / ranges for k in range(1, ranges)], 10_000).alias("b")).first().b if ranges > 1 else None
-        part = _bucket(at, sorted(set(bounds or [])))
+        at = _text_position(df, first)
+    bounds = df.select(F.percentile_approx(at, [k / ranges for k in range(1, ranges)], 10_000).alias("b")).first().b if ranges > 1 else None
+    part = _bucket(at, sorted(set(bounds or [])))
     ranged = df.withColumn("__range", part)
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     starts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).select(F.col("__range").alias("__start"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
@@ -63,6 +67,14 @@ def numbered(df: DataFrame, order: list[str], ranges: int | None = None, name: s
     return placed.withColumn(name, F.col("__in") + F.col("__before")).drop("__in", "__before", "__range", "__start")
 
 
+def _text_position(df: DataFrame, column: str) -> Column:
+    """A number in the order of a text: the six bytes after the prefix that all of the column's texts share."""
+    text = F.col(f"`{column}`").cast("string")
+    low, high = df.agg(F.min(text), F.max(text)).first()
+    shared = len(os.path.commonprefix([low.encode(), high.encode()])) if low is not None else 0
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), shared + 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
 def _bucket(at: Column, bounds: list[float]) -> Column:
     """Number of the bounds that a value is above, by bisection; -1 for null, which sorts first."""
 

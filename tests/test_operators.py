@@ -117,6 +117,12 @@ def test_batches(spark, order):
     assert ops.batch_messages(df.limit(0), 10, [order]).count() == 0
 
 
+def test_batches_in_the_order_of_texts_of_any_bytes(spark):
+    texts = ["Customer#" + t for t in ["", "a", "aa", "aaaaaaaab", "aaaaaaaac", "B", "é", "漢", "z", "zz", "\x00", "🙂", "a b"]]
+    out = sorted(one(ops.batch_messages(spark.createDataFrame([(t,) for t in texts], "s string"), 4, ["s"], "b", ranges=5)))
+    assert [r.s for _, b in out for r in b] == sorted(texts, key=lambda t: t.encode())
+
+
 def test_batches_with_null_and_tied_order(spark):
     df = spark.createDataFrame([(None,), (1,), (1,), (2,)], "x int")
     out = sorted(one(ops.batch_messages(df, 3, ["x"], "b")))

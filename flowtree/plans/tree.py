@@ -48,7 +48,7 @@ def _walk(value: object, into: tuple[list, ...]) -> int:
         kinds.append(kind)
         paths.append(path)
         keys.append(list(x) if kind == "dict" else [])
-        texts.append(x if kind == "string" else None if kind == "null" else dumps(x))
+        texts.append(x if kind == "string" else None if kind == "null" else int.__repr__(x) if type(x) is int else dumps(x))
         if kind == "dict":
             for k, v in x.items():
                 visit(v, nid, depth + 1, k, None, [*path, k])

@@ -97,7 +97,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, words: int,
     tiled = written(tiled.select(F.struct("component", "ta", "tb").alias("tile"), "a", "b"), "tiled")
     meet = tiled.select("tile", F.col("a").alias("doc_id")).union(tiled.select("tile", "b")).distinct().groupBy("doc_id").agg(F.collect_list("tile").alias("at"))
     meet = written(meet.join(firsts, "doc_id"), "meet")
-    made = _texts(docs).join(small(meet), "doc_id").select("doc_id", "text", "at", "set_a", "set_b")
+    made = _texts(docs).join(small(meet, array="at"), "doc_id").select("doc_id", "text", "at", "set_a", "set_b")
     tile_type = "struct<component:long,ta:long,tb:long>"
     spread = made.mapInArrow(expand, f"doc_id long, shingles binary, at array<{tile_type}>").select(F.explode("at").alias("tile"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
     rows = spread.union(tiled.select("tile", "a", "b", F.lit(None).cast("binary").alias("shingles")))

@@ -28,12 +28,14 @@ from .storage import written
 #: Production parameters: shingles of 3 words, 32 bands of 4, the least Jaccard similarity of near copies, the
 #: probability of missing one, and signature values compared at a time.
 SCHEME, THRESHOLD, MISS, BATCH = Scheme(words=3, bands=32, rows=4), 0.6, 0.01, 16
-#: Rows up to which a table of (doc_id, ...) is sent to all executors; larger ones are joined by shuffle.
+#: Rows, or elements of an array in them, up to which a table of (doc_id, ...) is sent to all executors; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Marks ``df`` for broadcast if it has at most BROADCAST_ROWS rows; it should be a written table."""
+def small(df: DataFrame, rows: int | None = None, array: str | None = None) -> DataFrame:
+    """Marks ``df`` for broadcast if it has at most BROADCAST_ROWS rows, or elements of the array; it should be a written table."""
+    if array:
+        rows = df.agg(F.coalesce(F.sum(F.greatest(F.size(array), F.lit(1))), F.lit(0))).first()[0]
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
@@ -171,7 +173,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, threshold: float) ->
     meet = pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("at")).union(pairs.select("a", "a").distinct())
     meet = written(meet.groupBy("doc_id").agg(F.collect_list("at").alias("at")), "meet")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
-    expanded = texts.join(small(meet), "doc_id").select("doc_id", "at", "text").mapInArrow(expand, "doc_id long, at array<long>, shingles binary")
+    expanded = texts.join(small(meet, array="at"), "doc_id").select("doc_id", "at", "text").mapInArrow(expand, "doc_id long, at array<long>, shingles binary")
     rows = expanded.select(F.explode("at").alias("a"), F.col("doc_id").alias("b"), "shingles")
     rows = rows.repartition("a").sortWithinPartitions("a", F.col("a") != F.col("b"), "b")
     return rows.mapInArrow(compare, "a long, b long, jaccard double").dropDuplicates(["a", "b"])

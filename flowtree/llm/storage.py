@@ -32,13 +32,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a written table, in whatever file system it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release() -> None:
     """Removes every table written so far; results that still read one must have been consumed."""
     while _written:
         spark, path = _written.pop()
         try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            remove(spark, path.rpartition("/")[0])
         except Exception:  # noqa: BLE001 - the session has ended, and with it the access to the folder
             return
 

@@ -39,7 +39,14 @@ def _classes(punctuation: int) -> np.ndarray:
 WORDS, WORDS_AND_MARKS = _classes(0), _classes(2)
 
 
-_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+class _Kept(dict):
+    """A process's own cache: it is empty wherever it is sent, so that it doesn't travel with functions."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_kept: dict[int, tuple[np.ndarray, np.ndarray]] = _Kept()
 
 
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,12 +1,16 @@
 """MinHash near-dedup with sequential Bayesian verification (BayesLSH; Satuluri and Parthasarathy 2012).
 
 1. One pass over the texts makes a MinHash signature; band keys go to a shuffle of (key, doc_id) pairs.
-2. Documents of one band bucket are compared with its first: signatures are read in batches of BATCH values, and a
+2. Documents of one shingle set are joined by a 128-bit hash of it, and only the least doc_id of each goes on.
+3. Documents of one band bucket are compared with its first: signatures are read in batches of BATCH values, and a
    candidate goes as soon as the posterior probability that its similarity reaches the threshold, given the matches so
    far and a uniform prior, falls below MISS. Those that don't match the first are compared with the next that is left,
    until nothing is left, so no bucket is capped.
-3. Survivors are verified by the exact Jaccard similarity of their shingle sets, at each candidate's leader.
-4. Connected components of verified pairs are the groups; the least doc_id of each stays.
+4. Survivors are verified by the exact Jaccard similarity of their shingle sets, at each candidate's leader.
+5. A bucket whose documents these pairs leave in several components is compared again, every document with every one of
+   another component, and survivors are verified in tiles. So a candidate that resembles its leader too little, or whose
+   partner doesn't resemble the leader, is held against all of its bucket.
+6. Connected components of verified pairs are the groups; the least doc_id of each stays.
 
 Defined results: rows of a null doc_id can't be named and are left out of ``groups``; ``deduplicate`` keeps them.
 Texts that are null, empty or without a word resemble nothing and stay. A text shorter than a shingle is one shingle.
@@ -18,12 +22,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
 from .minhash import Scheme, band_keys, binaries, jaccard, lists, ragged, sets, signatures
 from .storage import written
+from .textblocks import mix
 
 #: Production parameters: shingles of 3 words, 32 bands of 4, the least Jaccard similarity of near copies, the
 #: probability of missing one, and signature values compared at a time.
@@ -84,6 +89,17 @@ def leaders(bucket: np.ndarray, ids: np.ndarray, sig: np.ndarray, least: tuple[t
     return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
 
 
+def across(bucket: np.ndarray, ids: np.ndarray, component: np.ndarray, sig: np.ndarray, least: tuple[tuple[int, int], ...]):
+    """Surviving (a, b) pairs of different components of rows sorted by bucket: every row with the next one of its bucket, then the one after, and so on."""
+    at, step = np.arange(len(bucket) - 1), 1
+    while len(at := at[at + step < len(bucket)]) and len(at := at[bucket[at] == bucket[at + step]]):
+        a = at[component[at] != component[at + step]]
+        a = a[survivors(sig[a], sig[a + step], least)]
+        if len(a):
+            yield ids[a], ids[a + step]
+        step += 1
+
+
 def whole_groups(batches, key: int = 0, least: int = 1 << 16):
     """Regroups record batches that are sorted by a column so that none of its values is split."""
     held: list[pa.RecordBatch] = []
@@ -110,16 +126,29 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """(doc_id, bands, sig): band keys and the lowest 8 bits of each signature value; texts without a word are left out."""
+    """(doc_id, set_a, set_b, bands, sig): a 128-bit hash of the shingle set, band keys and the lowest 8 bits of each signature value; texts without a word are left out."""
 
     def run(batches):
         for batch in batches:
             sig, some = signatures(batch.column(1), scheme)
-            out = [batch.column(0).cast(pa.int64()), lists(band_keys(sig, scheme), some), binaries(sig.astype(np.uint8))]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "bands", "sig"]).filter(pa.array(some))
+            h = np.zeros((len(some), 2), np.uint64)
+            for k, s in enumerate(sets(batch.column(1), scheme.words)):
+                h[k] = mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+            h = h.view(np.int64)
+            out = [batch.column(0).cast(pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), lists(band_keys(sig, scheme), some), binaries(sig.astype(np.uint8))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "set_a", "set_b", "bands", "sig"]).filter(pa.array(some))
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
-    return named.mapInArrow(run, "doc_id long, bands array<long>, sig binary")
+    return named.mapInArrow(run, "doc_id long, set_a long, set_b long, bands array<long>, sig binary")
+
+
+def originals(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sketches of the least doc_id of each shingle set, (a, b) of it and each other doc_id of the set); of several sets under one doc_id, the one of the least hash."""
+    own = Window.partitionBy("doc_id")
+    ids = sketched.select("doc_id", "set_a", "set_b").withColumn("one", F.min(F.struct("set_a", "set_b")).over(own)).where("one.set_a = set_a and one.set_b = set_b").drop("one").distinct()
+    named = written(ids.withColumn("first", F.min("doc_id").over(Window.partitionBy("set_a", "set_b"))), "named")
+    firsts = sketched.join(named.where("doc_id = first").drop("first"), ["doc_id", "set_a", "set_b"]).dropDuplicates(["doc_id"])
+    return written(firsts, "firsts"), named.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
 
 
 def buckets(sketched: DataFrame) -> DataFrame:
@@ -130,8 +159,8 @@ def buckets(sketched: DataFrame) -> DataFrame:
     return groups.groupBy("ids").agg(F.min("key").alias("bucket")).select("bucket", F.explode("ids").alias("doc_id"))
 
 
-def candidates(sketched: DataFrame, scheme: Scheme, threshold: float, miss: float = MISS, batch: int = BATCH) -> DataFrame:
-    """(a, b): leader and member of the pairs that sequential comparison leaves."""
+def candidates(sketched: DataFrame, shared: DataFrame, scheme: Scheme, threshold: float, miss: float = MISS, batch: int = BATCH) -> DataFrame:
+    """(a, b): leader and member of the pairs of ``shared`` buckets that sequential comparison leaves."""
 
     least = least_matches(scheme.size, threshold, miss, batch)
 
@@ -140,8 +169,25 @@ def candidates(sketched: DataFrame, scheme: Scheme, threshold: float, miss: floa
             a, b = leaders(part.column(0).to_numpy(), part.column(1).to_numpy(), _matrix(part.column(2), scheme.size), least)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    own = sketched.select("doc_id", "sig").dropDuplicates(["doc_id"])
-    rows = buckets(sketched).join(own, "doc_id").select("bucket", "doc_id", "sig")
+    rows = shared.join(sketched.select("doc_id", "sig"), "doc_id").select("bucket", "doc_id", "sig")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(run, "a long, b long").distinct()
+
+
+def remaining(sketched: DataFrame, shared: DataFrame, found: DataFrame, scheme: Scheme, threshold: float, miss: float = MISS, batch: int = BATCH) -> DataFrame:
+    """(a, b): all pairs of ``shared`` buckets, but of one component of ``found``, that sequential comparison leaves."""
+
+    least = least_matches(scheme.size, threshold, miss, batch)
+
+    def run(batches):
+        for part in whole_groups(batches):
+            bucket, ids, component = (part.column(k).to_numpy() for k in range(3))
+            for a, b in across(bucket, ids, component, _matrix(part.column(3), scheme.size), least):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    per = Window.partitionBy("bucket")
+    placed = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = placed.withColumns({"low": F.min("component").over(per), "high": F.max("component").over(per)}).where("low <> high")
+    rows = placed.join(sketched.select("doc_id", "sig"), "doc_id").select("bucket", "doc_id", "component", "sig")
     return rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -179,15 +225,23 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, threshold: float) ->
     return rows.mapInArrow(compare, "a long, b long, jaccard double").dropDuplicates(["a", "b"])
 
 
-def _labels(docs: DataFrame, scheme: Scheme, threshold: float, miss: float) -> tuple[DataFrame, DataFrame]:
-    sketched = written(sketches(docs, scheme), "sketches")
-    pairs = written(candidates(sketched, scheme, threshold, miss), "pairs")
-    return sketched, components(verified(docs, pairs, scheme.words, threshold), "a", "b")
+def _labels(docs: DataFrame, scheme: Scheme, threshold: float, miss: float) -> DataFrame:
+    """(node, component) of every doc_id that resembles another."""
+    from .fingerprints import _verified  # which imports this module
+
+    sketched, copies = originals(written(sketches(docs, scheme), "sketches"))
+    shared = written(buckets(sketched), "buckets")
+    pairs = written(candidates(sketched, shared, scheme, threshold, miss), "pairs")
+    alike = written(verified(docs, pairs, scheme.words, threshold).select("a", "b"), "alike")
+    more = written(remaining(sketched, shared, components(alike, "a", "b"), scheme, threshold, miss).join(pairs, ["a", "b"], "left_anti"), "remaining")
+    if more.count():
+        alike = alike.union(_verified(docs, more, sketched.select("doc_id", "set_a", "set_b"), scheme.words, threshold).select("doc_a", "doc_b"))
+    return components(alike.union(copies), "a", "b")
 
 
 def groups(docs: DataFrame, scheme: Scheme = SCHEME, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """(doc_id, group_id, keep) of every distinct doc_id; group_id is the least doc_id of its group."""
-    _, found = _labels(docs, scheme, threshold, miss)
+    found = _labels(docs, scheme, threshold, miss)
     all_ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     named = all_ids.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     group = F.coalesce("component", "doc_id")
@@ -196,7 +250,7 @@ def groups(docs: DataFrame, scheme: Scheme = SCHEME, threshold: float = THRESHOL
 
 def deduplicate(docs: DataFrame, scheme: Scheme = SCHEME, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Texts are shuffled only where the ids that go are many."""
-    _, found = _labels(docs, scheme, threshold, miss)
+    found = _labels(docs, scheme, threshold, miss)
     gone = found.where("node <> component").select(F.col("node").alias("__gone"))
     repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__again"))
     gone, repeated = written(gone, "gone"), written(repeated, "repeated")

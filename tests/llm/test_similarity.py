@@ -49,6 +49,17 @@ def test_many_copies_in_one_bucket(spark):
     assert [(r.group_id, r["count"]) for r in got] == [(0, 3000)]
 
 
+def test_near_duplicates_in_a_family_that_is_less_alike(spark):
+    shared = " ".join(f"s{i}" for i in range(222))
+    n, planted = 600, {2 * k: 25 + k % 8 for k in range(100)}  # words that 2k and 2k + 1 have in common besides
+    texts = {i: f"{shared} " + " ".join(f"p{i // 2}x{j}" if j < planted.get(i - i % 2, 0) else f"d{i}x{j}" for j in range(90)) for i in range(n)}
+    some = [brute.jaccard(*(brute.shingles(texts[i], 3) for i in p)) for p in ((0, 1), (14, 15), (0, 2), (500, 501))]
+    assert 0.65 <= some[0] < some[1] < 0.8 and 0.5 < some[2] < 0.56 and 0.5 < some[3] < 0.56
+    got = {r.doc_id: r.group_id for r in neardup.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()}
+    assert sum(got[i + 1] == i for i in planted) >= 97
+    assert all(got[i] == i or i - 1 in planted for i in texts)
+
+
 def test_fingerprints_against_all_pairs(docs, texts):
     want = set(brute.pairs_at_least(texts, 3, 0.7))
     rows = fingerprints.expanded(fingerprints.similar(docs)).collect()

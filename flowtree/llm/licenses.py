@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +45,37 @@ _MIT = (
     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n"
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 )
-_NAMES = {"MIT": ("MIT",), "Apache-2.0": ("Apache", "2.0"), "GPL-3.0": ("GNU General Public", "3"), "GPL-2.0": ("GNU General Public", "2"), "LGPL-3.0": ("GNU Lesser General Public", "3"), "AGPL-3.0": ("GNU Affero General Public", "3"), "MPL-2.0": ("Mozilla Public", "2.0")}
+_NAMES = {"MIT": ("MIT",), "Apache-2.0": ("Apache", "2.0"), "GPL-3.0": ("GNU General Public", "3"), "GPL-2.0": ("GNU General Public", "2"), "LGPL-2.1": ("GNU Lesser General Public", "2.1"), "LGPL-3.0": ("GNU Lesser General Public", "3"), "AGPL-3.0": ("GNU Affero General Public", "3"), "MPL-2.0": ("Mozilla Public", "2.0")}
 _CC = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
+_CC_WORDS = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial"}
+#: Titles of licences that _NAMES hasn't.
+_TITLES = {"ISC": "ISC License", "0BSD": "Zero-Clause BSD", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License"}
+_STARTS = ("Released under", "Licensed under", "This work is licensed under", "Distributed under", "This software is released under")
+#: Entire texts, a file each, named by licence.
+_TEXTS = Path(__file__).parent / "known_licenses"
+#: The end of the terms, behind which stands how to apply them; the line of an unfilled copyright there.
+_END, _UNFILLED = r"(?m)^\s*END OF TERMS AND CONDITIONS\s*$", r"(?m)^\s*Copyright \[yyyy\].*\n"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the licences in ``known_licenses``: as they are, without the copyright line to be filled in, and without what follows the terms."""
+    out = []
+    for path in sorted(_TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        forms = [text, re.sub(_UNFILLED, "", text)]
+        if end := re.search(_END, text):
+            forms += [text[: end.start()], text[: end.end()]]
+        out += [(path.stem, form) for form in dict.fromkeys(forms)]
+    return out
+
+
+def cc_names(kind: str, version: str) -> list[str]:
+    """The names in words of a CC licence."""
+    names = []
+    for derivatives in ("NoDerivatives", "NoDerivs"):
+        name = "Creative Commons " + "-".join((_CC_WORDS | {"ND": derivatives})[x] for x in kind.split("-")) + f" {version}"
+        names += [name, name + (" International" if version == "4.0" else " Unported")]
+    return list(dict.fromkeys(names))
 
 
 def known_texts() -> list[tuple[str, str]]:
@@ -53,15 +83,25 @@ def known_texts() -> list[tuple[str, str]]:
     out = [("MIT", _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT), ("ISC", _GRANT + ", provided that the above copyright notice and this permission notice appear in all copies." + _ISC)]
     out += [("0BSD", _GRANT + "." + _ISC), ("BSD-2-Clause", _BSD + _AS_IS)]
     out.append(("BSD-3-Clause", _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n" + _AS_IS))
+    bare = [(name, text) for name, text in out if name != "MIT"]
+    out += [(name, "All rights reserved.\n\n" + text) for name, text in bare]
+    out += [(name, f"{_TITLES[name]}\n\n{reserved}{text}") for name, text in bare for reserved in ("", "All rights reserved.\n\n")]
+    out += whole_texts()
+    for name, title in _TITLES.items():
+        out += [(name, title), *((name, f"{start} {the}{title}.") for start in _STARTS for the in ("", "the ")), (name, f"SPDX-License-Identifier: {name}")]
+    out += [("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"), *(("CC0-1.0", f"{start} {x}.") for start in _STARTS for x in ("CC0 1.0", "CC0 1.0 Universal"))]
     for name, (title, *version) in _NAMES.items():
         forms = [f"{title} License", f"{title} License, Version {version[0]}", f"{title} License Version {version[0]}", f"{title} License v{version[0]}"] if version else [f"{title} License"]
         for form in forms[1:] or forms:
-            out += [(name, f"{start} {the}{form}.") for start in ("Released under", "Licensed under", "This work is licensed under", "Distributed under", "This software is released under") for the in ("", "the ")]
+            out += [(name, f"{start} {the}{form}.") for start in _STARTS for the in ("", "the ")]
             out.append((name, form))
-        out += [(name, f"SPDX-License-Identifier: {name}")]
+        out += [(name, f"SPDX-License-Identifier: {name}{which}") for which in (("", "-only", "-or-later") if "GPL" in name else ("",))]
     for kind in _CC:
         for version in ("3.0", "4.0"):
             out += [(f"CC-{kind}-{version}", f"{start} CC {kind} {version}.") for start in ("Released under", "Licensed under", "This work is licensed under", "Distributed under")]
+            out.append((f"CC-{kind}-{version}", f"SPDX-License-Identifier: CC-{kind}-{version}"))
+            for x in cc_names(kind, version):
+                out += [(f"CC-{kind}-{version}", form) for form in (x, f"{x} License", *(f"{start} {the}{x}{end}." for start in _STARTS for the in ("", "a ", "the ") for end in ("", " License", " Public License")))]
     return out
 
 

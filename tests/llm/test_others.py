@@ -113,6 +113,22 @@ def test_licences_in_any_spelling(spark):
     assert {(1, "MIT"), (2, "MIT"), (3, "MIT"), (9, "MIT"), (7, "Apache-2.0")} == hit
 
 
+def test_entire_licences_and_identifiers(spark):
+    shared = "/usr/share/common-licenses"
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = {name: open(f"{shared}/{file}").read() for name, file in files.items()}
+    cases = list(texts.items())
+    cases += [("Apache-2.0", texts["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Someone")), ("Apache-2.0", texts["Apache-2.0"].split("   APPENDIX")[0]), ("GPL-3.0", texts["GPL-3.0"].split("How to Apply")[0])]
+    ids = {"BSD-3-Clause": "BSD-3-Clause", "ISC": "ISC", "0BSD": "0BSD", "GPL-3.0-or-later": "GPL-3.0", "GPL-2.0-only": "GPL-2.0", "LGPL-2.1-or-later": "LGPL-2.1", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC-BY-NC-ND-3.0": "CC-BY-NC-ND-3.0", "CC0-1.0": "CC0-1.0"}
+    cases += [(name, f"# SPDX-License-Identifier: {i}\ncode()") for i, name in ids.items()]
+    cases += [("CC-BY-4.0", "Creative Commons Attribution 4.0 International"), ("CC-BY-NC-4.0", "Words.\n\nThis work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.")]
+    cases += [(None, texts["GPL-3.0"].replace("free", "costly")), (None, "SPDX-License-Identifier: GPL-9.0")]
+    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(cases)], "doc_id long, text string")).where("scope <> 'paragraph'").collect()}
+    whole = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(cases)], "doc_id long, text string")).where("scope = 'document'").collect()}
+    assert {(k, name) for k, (name, _) in enumerate(cases) if name} <= got and {(k, name) for k, (name, _) in enumerate(cases[:10])} <= whole
+    assert not {d for d, _ in whole} & {k for k, (name, _) in enumerate(cases) if not name}
+
+
 # chat
 
 

@@ -10,13 +10,19 @@ Rules are domains (each holds for itself and its subdomains) and URLs (compared
 Rule tables are joined by equality: each host is expanded to its parent domains, so no rule is tried on every page.
 
 Defined results: a null or empty URL has no normal form: its decision is 'none', and it has no aliases. Repeated URLs
-are decided alike. Links of a page are read from its whole HTML; relative ones are resolved against its host. Only the
+are decided alike. All canonical links and refresh tags of a page's whole HTML count, but for those in comments and scripts;
+relative ones are resolved against its URL or its base tag. Targets of other schemes than http and https are no links. Only the
 named columns are read. The result has a row for each row of pages: (page_id, url, component, decision), the component being the least
 normal form of the set, the decision 'allow', 'block' or 'none'.
 """
 
 from __future__ import annotations
 
+import html as entities
+import re
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +42,13 @@ _STEPS = (
 )
 _HOST = r"^([^/?]*)"
 _ALIAS = r"^(www|m)\."
+#: Of the SQL alone, which reads the first link of each form; ``targets`` reads all.
 _CANONICAL = (r"(?i)<link[^>]*rel=[\"']?canonical[\"']?[^>]*href=[\"']([^\"'>]*)", r"(?i)<link[^>]*href=[\"']([^\"'>]*)[\"'][^>]*rel=[\"']?canonical")
 _REFRESH = r"(?i)<meta[^>]*http-equiv=[\"']?refresh[\"']?[^>]*url=[\"']?([^\"'>]*)"
+#: What a page may have its links in, or hide them in; an attribute; a scheme; the time before a refresh tag's address.
+_TAGS = re.compile(r"""<!--.*?(?:-->|\Z)|<script\b.*?(?:</script\s*>|\Z)|<(link|meta|base)\b((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.I | re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_SCHEME, _DELAY = re.compile(r"^([a-z][a-z0-9+.-]*:)?//", re.I), re.compile(r"\s*[\d.]*\s*[;,]?\s*(?:url\s*=\s*)?", re.I)
 
 
 def bare(url: Column) -> Column:
@@ -55,18 +66,49 @@ def normal(url: Column) -> Column:
     return F.regexp_replace(bare(url), _ALIAS, "")
 
 
+def targets(url: str, html: str) -> list[str]:
+    """The absolute addresses that a page names as its canonical or next one."""
+    base, found = "http://" + _SCHEME.sub("", url.strip()), []
+    named: str | None = None
+    for tag in _TAGS.finditer(html):
+        if not tag[1]:
+            continue
+        have: dict[str, str] = {}
+        for name, *values in _ATTRIBUTE.findall(tag[2]):
+            have.setdefault(name.lower(), entities.unescape("".join(values)).strip())
+        kind = tag[1].lower()
+        if kind == "base":
+            named = named or have.get("href")
+        elif kind == "link" and "canonical" in have.get("rel", "").lower().split():
+            found.append(have.get("href", ""))
+        elif kind == "meta" and have.get("http-equiv", "").lower() == "refresh":
+            to = _DELAY.sub("", have.get("content", ""), count=1)
+            found.append(to[1:].split(to[0])[0].strip() if to[:1] in ("'", '"') else to)
+    out = []
+    for to in found:
+        try:
+            whole = urljoin(urljoin(base, named) if named else base, to)
+        except ValueError:  # not an address
+            continue
+        if to and re.match("https?://", whole, re.I):
+            out.append(whole)
+    return list(dict.fromkeys(out))
+
+
 def links(pages: DataFrame) -> DataFrame:
     """(a, b): normal forms of each page and of what it names as its canonical or next address."""
     found = pages.select(F.col("url").alias("url"), F.col("html").alias("html")).where("url is not null and html is not null")
     # a literal test first, as most pages have neither tag
     lower = F.lower("html")
     found = found.where(lower.contains("canonical") | lower.contains("refresh"))
-    host = F.regexp_extract(bare(F.col("url")), _HOST, 1)
-    targets = F.array(*(F.regexp_extract("html", p, 1) for p in (*_CANONICAL, _REFRESH)))
-    to = F.explode(F.filter(F.transform(targets, F.trim), lambda t: t != ""))
-    named = found.select("url", host.alias("host"), to.alias("to"))
-    whole = F.when(F.col("to").startswith("/") & ~F.col("to").startswith("//"), F.concat("host", "to")).otherwise(F.col("to"))
-    return named.select(normal(F.col("url")).alias("a"), normal(whole).alias("b"))
+
+    def run(batches):
+        for batch in batches:
+            rows = [(u, to) for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for to in targets(u, h)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["url", "to"])
+
+    named = found.mapInArrow(run, "url string, to string")
+    return named.select(normal(F.col("url")).alias("a"), normal(F.col("to")).alias("b"))
 
 
 def decide(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:

@@ -93,6 +93,21 @@ def test_url_filter_against_brute_force(spark):
     assert urlfilter.decide(pages.limit(0), rules).count() == 0 and urlfilter.decide(pages, rules.limit(0)).where("decision <> 'none'").count() == 0
 
 
+def test_relative_links_stay_on_their_site(spark):
+    tag = '<link rel="canonical" href="{}">'
+    pages = [
+        (1, "http://one.example/a/b", tag.format("index.html")), (2, "http://two.example/a/b", tag.format("index.html")), (3, "http://one.example/a", ""), (4, "http://two.example/d/e/f", tag.format("../x")), (5, "http://two.example/d/x", ""),
+        (6, "http://six.example/p?q=1", tag.format("?id=3")), (7, "http://six.example/p?id=3", ""), (8, "http://six.example/8", "<link href=/nine rel=canonical>" + '<meta http-equiv=refresh content="0; url=ten">' + tag.format("//six.example/eleven?a=1&amp;b=2")),
+        (9, "http://six.example/nine", ""), (10, "http://six.example/ten", ""), (11, "http://six.example/eleven?a=1&b=2", ""), (12, "http://six.example/12", "<!-- " + tag.format("nine") + " -->" + tag.format("mailto:canonical@six.example")),
+        (13, "http://six.example/13", '<base href="/sub/">' + tag.format("y")), (14, "http://six.example/sub/y", ""),
+    ]
+    rules = spark.createDataFrame([("block", "domain", "one.example")], "decision string, kind string, value string")
+    got = {r.page_id: r for r in urlfilter.decide(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert [i for i, r in got.items() if r.decision == "block"] == [i for i in got if i in (1, 3)]
+    sets = sorted(sorted(i for i, r in got.items() if r.component == c) for c in {r.component for r in got.values()})
+    assert sets == [[1, 3], [2], [4, 5], [6, 7], [8, 9, 10, 11], [12], [13, 14]]
+
+
 def test_url_filter_matches_sql(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     assert rows(urlfilter.decide(pages, spark.createDataFrame(urlfilter.RULES, "decision string, kind string, value string"))) == sql(urlfilter.sql("p"), p=pages)

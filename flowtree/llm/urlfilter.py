@@ -40,6 +40,8 @@ _TRACKING = r"[?&](utm_[a-z]*|ref|fbclid|gclid|page|sessionid)=[^&#]*"
 _STEPS = (
     (r"#.*$", ""), (_TRACKING, ""), (r"^[a-zA-Z][a-zA-Z0-9+.-]*://", ""), (r"^//", ""), (r":(80|443)(/|$)", r"\2"), (r"(/index)?\.html?$", ""), (r"/+$", ""),
 )
+#: A tracking parameter with the '&' behind it, and what is left of a query without any; the parameters around it stay joined by '?' and '&'.
+_PARAMETER, _EMPTY = r"(?<=[?&])(utm_[a-z]*|ref|fbclid|gclid|page|sessionid)=[^&#]*(&|$)", r"[?&]+$"
 _HOST = r"^([^/?]*)"
 _ALIAS = r"^(www|m)\."
 #: Of the SQL alone, which reads the first link of each form; ``targets`` reads all.
@@ -55,7 +57,10 @@ def bare(url: Column) -> Column:
     """Normal form but for www. and m., so that a rule can tell these hosts apart."""
     c = F.trim(url)
     for a, b in _STEPS:
-        c = F.regexp_replace(c, a, b.replace("\\2", "$2"))
+        if a == _TRACKING:
+            c = F.regexp_replace(F.regexp_replace(c, _PARAMETER, ""), _EMPTY, "")
+        else:
+            c = F.regexp_replace(c, a, b.replace("\\2", "$2"))
     # the lambdas' variables keep the expressions from being copied into each other
     parts = F.transform(F.array(c), lambda u: F.struct(F.regexp_extract(u, _HOST, 1).alias("h"), u.alias("u")))
     form = F.transform(parts, lambda p: F.concat(F.lower(p["h"]), F.substr(p["u"], F.length(p["h"]) + 1)))

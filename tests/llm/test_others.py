@@ -93,6 +93,13 @@ def test_url_filter_against_brute_force(spark):
     assert urlfilter.decide(pages.limit(0), rules).count() == 0 and urlfilter.decide(pages, rules.limit(0)).where("decision <> 'none'").count() == 0
 
 
+def test_tracking_parameters_leave_the_others(spark):
+    same = ["h.example/p?id=5", "http://h.example/p?utm_source=x&id=5", "http://h.example/p?id=5&ref=x", "https://h.example/p?fbclid=1&utm_medium=2&id=5&gclid=3#top"]
+    cases = [*((u, "h.example/p?id=5") for u in same), ("h.example/p?a=1&ref=x&b=2", "h.example/p?a=1&b=2"), ("h.example/p/?utm_source=x", "h.example/p"), ("h.example/?href=1", "h.example/?href=1")]
+    got = [r[0] for r in spark.createDataFrame([(k, u) for k, (u, _) in enumerate(cases)], "k long, u string").orderBy("k").select(urlfilter.normal(F.col("u"))).collect()]
+    assert got == [n for _, n in cases]
+
+
 def test_relative_links_stay_on_their_site(spark):
     tag = '<link rel="canonical" href="{}">'
     pages = [

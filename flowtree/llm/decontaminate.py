@@ -12,7 +12,7 @@ Items of fewer words than a shingle are matched as shingles of their own length.
 BROADCAST_BYTES go to every executor, so that one pass over the texts, without a shuffle, finds and verifies; larger
 ones meet the windows' values in a shuffle join instead, with the same result.
 
-Defined results: a null doc_id or item_id can't be named and is left out (``remove`` keeps such rows of documents); null
+Defined results: a null doc_id or item_id can't be named and is left out (``remove`` looks at such rows of documents as at all others); null
 and empty texts, and texts without a word, hold and match nothing. Repeated item rows count once; items of one text
 under two ids are each reported. Repeated rows of a doc_id are reported once, with their greatest containment, and
 ``remove`` drops every row that itself matches. Only doc_id and text, item_id and text are read.
@@ -156,6 +156,11 @@ def matches(texts: pa.Array, ix: Index, threshold: float) -> tuple[list[int], li
     return out
 
 
+def _text_key():
+    """128 bits of a text: rows of one text are alike, whatever their doc_id."""
+    return F.md5(F.col("text"))
+
+
 def _named(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), F.col("text").alias("text")).where(f"{key} is not null and text is not null")
 
@@ -174,7 +179,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """(doc_id, item_id, containment) of every document and item of at least that containment."""
     ix = _small(items, broadcast_bytes)
     if ix is None:
-        found = _joined(docs, items, threshold)
+        named = _named(docs, "doc_id").withColumn("text_key", _text_key())
+        held = _joined(named.select("text_key", "text"), items, threshold).groupBy("text_key", "item_id").agg(F.max("containment").alias("containment"))
+        found = named.select("doc_id", "text_key").distinct().join(held, "text_key")
     else:
         def run(batches):
             for batch in batches:
@@ -186,8 +193,11 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 
 
-def _joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """As ``contaminated``, for item tables of any size, by shuffle joins on window keys and then on the documents."""
+def _joined(texts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(text_key, item_id, containment) of texts (text_key, text), for item tables of any size, by shuffle joins on window keys and then on the texts.
+
+    Texts go by ``_text_key``, so that of several under one doc_id, or under none, each is held against its own items.
+    """
 
     def indexed(batches):
         for batch in batches:
@@ -210,7 +220,7 @@ def _joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
                     g, rows = grams[w]
                     for j in range(HASHES if len(g) else 0):
                         k, r = distinct(*window_keys(g, rows, c, w, j))
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + r)), pa.array(k.view(np.int64))], ["doc_id", "key"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + r)), pa.array(k.view(np.int64))], ["text_key", "key"])
 
     def verify(batches):
         for batch in batches:
@@ -224,21 +234,22 @@ def _joined(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
                         if share >= threshold:
                             for column, x in zip(out, (batch.column(0)[k].as_py(), p["item_id"], share)):
                                 column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["doc_id", "item_id", "containment"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["text_key", "item_id", "containment"])
 
-    texts = _named(docs, "doc_id")
-    hits = texts.mapInArrow(windows, "doc_id long, key long").join(known.select("item_id", "words", "shingles", F.explode("keys").alias("key")), "key")
-    pairs = hits.select("doc_id", "item_id", "words", "shingles").distinct()
-    pairs = pairs.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", "shingles")).alias("items"))
-    return texts.join(pairs, "doc_id").mapInArrow(verify, "doc_id long, item_id long, containment double")
+    hits = texts.mapInArrow(windows, "text_key string, key long").join(known.select("item_id", "words", "shingles", F.explode("keys").alias("key")), "key")
+    pairs = hits.select("text_key", "item_id", "words", "shingles").distinct()
+    pairs = pairs.groupBy("text_key").agg(F.collect_list(F.struct("item_id", "words", "shingles")).alias("items"))
+    return texts.join(pairs, "text_key").mapInArrow(verify, "text_key string, item_id long, containment double")
 
 
 def remove(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
     ix = _small(items, broadcast_bytes)
     if ix is None:
-        gone = written(_joined(docs, items, threshold).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-        return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+        texts = docs.where("text is not null").select(_text_key().alias("text_key"), F.col("text").alias("text"))
+        gone = written(_joined(texts, items, threshold).select(F.col("text_key").alias("__gone")).distinct(), "gone")
+        return docs.join(gone, _text_key() == F.col("__gone"), "left_anti")
+
     def clean(batch: pa.RecordBatch) -> np.ndarray:
         mask = np.ones(batch.num_rows, bool)
         mask[matches(batch.column(0), ix, threshold)[0]] = False

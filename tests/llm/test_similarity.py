@@ -93,6 +93,17 @@ def test_decontamination_of_odd_rows(spark, odd, none, limit):
     assert decontaminate.contaminated(none, items, broadcast_bytes=limit).count() == 0 and decontaminate.remove(odd, items.limit(0), broadcast_bytes=limit).count() == odd.count()
 
 
+@pytest.mark.parametrize("limit", [0, 64 << 20])
+def test_decontamination_of_rows_that_share_an_id_or_have_none(spark, limit):
+    bad, good = "plain words that say nothing much at all here", "other words of nobody in no item there"
+    rows = [(1, bad), (1, good), (2, good), (None, bad), (None, good), (None, None), (3, f"{good} {bad}"), (3, bad), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, bad)], "item_id long, text string")
+    left = sorted((tuple(r) for r in decontaminate.remove(docs, items, broadcast_bytes=limit).collect()), key=str)
+    assert left == sorted([(1, good), (2, good), (None, good), (None, None), (3, None)], key=str)
+    assert sorted(tuple(r) for r in decontaminate.contaminated(docs, items, broadcast_bytes=limit).collect()) == [(1, 1, 1.0), (3, 1, 1.0)]
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1), (None, 2), (2, None)], [(i, i + 1) for i in range(40)], [(5, 3), (3, 5), (9, 8), (8, 7), (3, 1)]])
 def test_components(spark, edges):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()))

@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import discard, written
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node of an edge; the component is its least node.
 
-    Works for any ordered type. Edges with a null end and loops are ignored; repeated edges count once. Each round is
-    two shuffles by node with windows that spill, so no node's neighbours are held in memory; rounds are written to
-    the shared folder. The number of rounds grows with the logarithm of the longest chain.
+    Works for any ordered type. Edges with a null end and loops are ignored; repeated edges count once. The least neighbour of
+    each node is an aggregation with map-side combining that is joined back, so no node's neighbours are one task's work,
+    however many they are (adaptive execution splits a hot node's join). Rounds are written to the shared folder, each
+    removed once the next is there. The number of rounds grows with the logarithm of the longest chain.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    per = Window.partitionBy("u")
     state = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least(F.min("v").over(per), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.withColumn("m", F.min("v").over(per))
-        e = written(down.select("v", "m").union(down.select("u", "m")).toDF("u", "v").where("u <> v").distinct(), "stars")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        # large: each greater neighbour to the least of the node and its neighbours; e has every node's lesser ones under u
+        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
+        large = written(large, "large")
+        # small: each lesser neighbour, and the node, to the least of them
+        down = large.join(_least(large), "u")
+        new = written(down.select("v", "m").union(down.select("u", "m")).toDF("u", "v").where("u <> v").distinct(), "stars")
+        discard(large)
+        discard(e)
+        e = new
+        now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == state:
             break
         state = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+
+
+def _least(e: DataFrame) -> DataFrame:
+    return e.groupBy("u").agg(F.min("v").alias("m"))

@@ -1,111 +1,103 @@
 """Document fingerprints: MinHash signatures, their bands joined in Spark, and the Jaccard similarity verified.
 
 Documents of one and the same shingle set are one fingerprint, named by its least doc_id, so copies cost one row each
-and never a pair each. Fingerprints that share a band are candidates, all pairs of them; candidates are verified by the
-exact Jaccard similarity of their shingle sets. For that, the connected components of the candidates are cut into
-tiles of TILE x TILE documents, and every set is sent once to each tile that has a pair of it: a set travels a few
-times however many partners it has, and no task holds more than two rows of tiles.
-
-Result: (doc_a, doc_b, jaccard), doc_a < doc_b. Between fingerprints, every pair found at or above the threshold;
-within one, each copy with the least doc_id, at 1.0 (all pairs of copies, and of the copies of a pair, follow;
-``expanded`` spells them out). Recall at the threshold is above 0.98, and rises with similarity.
-
-Defined results: rows of a null doc_id, and null, empty or wordless texts, are in no pair. A text shorter than a shingle is
-one shingle. Repeated rows of one doc_id and text count once; of several texts under one doc_id, one is used
-(the one of the least set hash). Only doc_id and text are read.
+and never a pair each. Fingerprints that share a band are candidates, and all candidates are verified by the exact
+Jaccard similarity of their shingle sets, in tiles (see ``tiles``): no pair of candidates is ever a row. Fingerprints
+that shared bands join to a component of at most a tile meet there, once; those of larger components meet in the
+tiles of each of their buckets, where only those with a candidate bring their sets.
+
+``classes``, which the registered query gives, has one row per document: (doc_id, class_id, copies, links, group_id): its
+fingerprint, the documents that have it, the number of other fingerprints at or above the threshold, and the least
+doc_id of the connected component of these links. ``similar`` names the links, as pairs of fingerprints (doc_a, doc_b,
+jaccard) and each copy with its fingerprint, at 1.0; ``expanded`` spells out the pairs of copies that follow. Recall at the threshold
+is above 0.98, and rises with similarity.
+
+Defined results: rows of a null doc_id are left out. Null, empty and wordless texts have no links, and are a class and a
+group of their own. A text shorter than a shingle is one shingle. Repeated rows of one doc_id and text count once; of several
+texts under one doc_id, one is used (the one of the least set hash). Only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .minhash import Scheme, band_keys, jaccard, lists, ragged, sets, signatures
-from .neardup import small
+from .minhash import Scheme, band_keys, lists, sets, signatures
 from .storage import written
-from .textblocks import mix
+from .tiles import TILE, TILE_SHINGLES, Chooser, buckets, forest, named_texts, needed, originals, sent, set_hashes, small, tiled, verify
 
 #: Production parameters.
-SCHEME, THRESHOLD, TILE = Scheme(words=3, bands=25, rows=5, seed=9), 0.7, 256
+SCHEME, THRESHOLD = Scheme(words=3, bands=25, rows=5, seed=9), 0.7
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme = SCHEME) -> DataFrame:
-    """(doc_id, set_a, set_b, bands): a 128-bit hash of the shingle set and the band keys of the signature."""
+    """(doc_id, set_a, set_b, size, bands): a 128-bit hash of the shingle set, its size, and the band keys of the signature."""
 
     def run(batches):
         for batch in batches:
             sig, some = signatures(batch.column(1), scheme)
-            h = np.zeros((len(some), 2), np.uint64)
-            for k, s in enumerate(sets(batch.column(1), scheme.words)):
-                h[k] = mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-            h = h.view(np.int64)
-            out = [batch.column(0), pa.array(h[:, 0]), pa.array(h[:, 1]), lists(band_keys(sig, scheme), some)]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "set_a", "set_b", "bands"]).filter(pa.array(some))
+            made = sets(batch.column(1), scheme.words)
+            h, size = set_hashes(made), np.array([len(s) for s in made], np.int64)
+            out = [batch.column(0), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(size), lists(band_keys(sig, scheme), some)]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "set_a", "set_b", "size", "bands"]).filter(pa.array(some))
 
-    return _texts(docs).mapInArrow(run, "doc_id long, set_a long, set_b long, bands array<long>")
+    return named_texts(docs).mapInArrow(run, "doc_id long, set_a long, set_b long, size long, bands array<long>")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
+def _meetings(firsts: DataFrame) -> DataFrame:
+    """(tile, bucket, kind, doc_id): where fingerprints meet; the bucket is null in the tile of a whole component."""
+    shared = buckets(firsts)
+    joined = components(shared.where("doc_id <> low"), "low", "doc_id").withColumnRenamed("node", "doc_id")
+    placed = written(joined.join(firsts.select("doc_id", "size"), "doc_id"), "placed")
+    totals = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"))
+    fits = (F.col("n") <= TILE) & (F.col("shingles") <= TILE_SHINGLES)
+    placed = written(placed.join(totals.select("component", fits.alias("fits")), "component"), "fitting")
+    home = placed.where("fits").select(F.xxhash64("component").alias("tile"), F.lit(None).cast("long").alias("bucket"), F.lit(0).alias("kind"), "doc_id")
+    wide = written(tiled(shared.join(placed.where("not fits").select("doc_id"), "doc_id")), "wide")
+    return home.union(needed(wide.join(firsts.select("doc_id", "bands"), "doc_id"), Chooser))
+
+
+def _verified(docs: DataFrame, firsts: DataFrame, words: int, threshold: float, emit, schema: str) -> DataFrame:
+    rows = sent(docs, _meetings(firsts), firsts.select("doc_id", "set_a", "set_b", "bands"), words)
+    return verify(rows, Chooser, threshold, emit, schema)
 
 
 def similar(docs: DataFrame, scheme: Scheme = SCHEME, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_a, doc_b, jaccard); see the module."""
-    marks = written(fingerprints(docs, scheme), "fingerprints")
-    own = Window.partitionBy("doc_id")
-    ids = marks.select("doc_id", "set_a", "set_b").withColumn("one", F.min(F.struct("set_a", "set_b")).over(own)).where("one.set_a = set_a and one.set_b = set_b").drop("one").distinct()
-    named = written(ids.withColumn("first", F.min("doc_id").over(Window.partitionBy("set_a", "set_b"))), "named")
+
+    def emit(a, b, j):
+        return np.minimum(a, b), np.maximum(a, b), j
+
+    firsts, named = originals(written(fingerprints(docs, scheme), "fingerprints"))
     copies = named.where("doc_id <> first").select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    firsts = named.where("doc_id = first").select("doc_id", "set_a", "set_b")
-    keys = marks.join(firsts, ["doc_id", "set_a", "set_b"]).select("doc_id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.collect_set("doc_id").alias("ids")).where(F.size("ids") > 1).select(F.array_sort("ids").alias("ids")).distinct()
-    halves = shared.select("ids", F.posexplode("ids").alias("p", "a"))
-    pairs = halves.select("a", F.explode(F.slice("ids", F.col("p") + 2, F.size("ids"))).alias("b")).distinct()
-    return copies.union(_verified(docs, written(pairs, "pairs"), firsts, scheme.words, threshold))
+    return copies.union(_verified(docs, firsts, scheme.words, threshold, emit, "doc_a long, doc_b long, jaccard double"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, words: int, threshold: float) -> DataFrame:
-    def expand(batches):
-        for batch in batches:
-            made = sets(batch.column(1), words)
-            hashes = np.array([(mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) for s in made], np.uint64).reshape(-1, 2).view(np.int64)
-            right = (hashes[:, 0] == batch.column(3).to_numpy()) & (hashes[:, 1] == batch.column(4).to_numpy())
-            out = pa.RecordBatch.from_arrays([batch.column(0), ragged(made), batch.column(2)], ["doc_id", "shingles", "at"])
-            yield out.filter(pa.array(right))
-
-    def compare(batches):
-        tile, held = None, {}
-        for batch in batches:
-            out = ([], [], [])
-            for t, a, b, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                if t != tile:
-                    tile, held = t, {}
-                if b is None:
-                    held[a] = np.frombuffer(s.as_py(), np.uint64)
-                elif (j := jaccard(held[a], held[b])) >= threshold:
-                    for column, x in zip(out, (a, b, j)):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["doc_a", "doc_b", "jaccard"])
-
-    nodes = components(pairs, "a", "b")
-    nth = (F.row_number().over(Window.partitionBy("component").orderBy("node")) - 1) / TILE
-    places = written(nodes.select("node", "component", F.floor(nth).cast("long").alias("t")), "places")
-    tiled = pairs.join(places.toDF("a", "component", "ta"), "a").join(places.select("node", "t").toDF("b", "tb"), "b")
-    tiled = written(tiled.select(F.struct("component", "ta", "tb").alias("tile"), "a", "b"), "tiled")
-    meet = tiled.select("tile", F.col("a").alias("doc_id")).union(tiled.select("tile", "b")).distinct().groupBy("doc_id").agg(F.collect_list("tile").alias("at"))
-    meet = written(meet.join(firsts, "doc_id"), "meet")
-    made = _texts(docs).join(small(meet, array="at"), "doc_id").select("doc_id", "text", "at", "set_a", "set_b")
-    tile_type = "struct<component:long,ta:long,tb:long>"
-    spread = made.mapInArrow(expand, f"doc_id long, shingles binary, at array<{tile_type}>").select(F.explode("at").alias("tile"), F.col("doc_id").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
-    rows = spread.union(tiled.select("tile", "a", "b", F.lit(None).cast("binary").alias("shingles")))
-    return rows.repartition("tile").sortWithinPartitions("tile", F.col("b").isNotNull(), "a", "b").mapInArrow(compare, "doc_a long, doc_b long, jaccard double")
+def classes(docs: DataFrame, scheme: Scheme = SCHEME, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, copies, links, group_id) of every doc_id; see the module."""
+
+    def emit(a, b, _):
+        """(a, b, 0): edges that join all that is linked in the tile; (doc_id, doc_id, number of links)."""
+        x, y = forest(a, b)
+        ids, n = np.unique(np.concatenate([a, b]), return_counts=True)
+        return np.concatenate([x, ids]), np.concatenate([y, ids]), np.concatenate([np.zeros(len(x), np.int64), n])
+
+    firsts, named = originals(written(fingerprints(docs, scheme), "fingerprints"))
+    found = written(_verified(docs, firsts, scheme.words, threshold, emit, "a long, b long, links long"), "links")
+    groups = components(found.where("links = 0"), "a", "b").toDF("class_id", "group_id")
+    counts = found.where("links > 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links"))
+    linked = written(counts.join(groups, "class_id"), "linked")
+    of = named.select("doc_id", F.col("first").alias("class_id"), "copies").join(small(linked), "class_id", "left")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    class_id = F.coalesce("class_id", "doc_id")
+    return ids.join(of, "doc_id", "left").select("doc_id", class_id.alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group_id", class_id).alias("group_id"))
 
 
 def expanded(pairs: DataFrame) -> DataFrame:
-    """Every pair of documents that a result of ``similar`` says: also of copies with each other and with others' copies."""
+    """Every pair of documents that a result of ``similar`` says: also of copies with each other and with others' copies. For small results: it has a row a pair."""
     exact = pairs.where("jaccard = 1.0").select("doc_a", "doc_b")
     member = exact.toDF("first", "doc").union(exact.select("doc_a", "doc_a").distinct())
     within = member.alias("x").join(member.alias("y"), "first").where("x.doc < y.doc").select(F.col("x.doc").alias("doc_a"), F.col("y.doc").alias("doc_b"), F.lit(1.0).alias("jaccard"))
@@ -116,4 +108,4 @@ def expanded(pairs: DataFrame) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -52,13 +52,14 @@ def signatures(texts: pa.Array, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]
 
 
 def band_keys(sig: np.ndarray, scheme: Scheme) -> np.ndarray:
-    """A 64-bit key of each band, rows x bands of int64; keys of different bands differ."""
+    """A key of each band, rows x bands of int64, not negative; keys of different bands differ, and are in their order."""
+    bits = max(1, (scheme.bands - 1).bit_length())
     out = np.empty((len(sig), scheme.bands), np.uint64)
     for b in range(scheme.bands):
         h = np.full(len(sig), b + 1, np.uint64)
         for j in range(b * scheme.rows, (b + 1) * scheme.rows):
             h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, j])
-        out[:, b] = h
+        out[:, b] = (h >> np.uint64(bits + 1)) | np.uint64(b << (63 - bits))
     return out.view(np.int64)
 
 

@@ -1,47 +1,40 @@
 """MinHash near-dedup with sequential Bayesian verification (BayesLSH; Satuluri and Parthasarathy 2012).
 
-1. One pass over the texts makes a MinHash signature; band keys go to a shuffle of (key, doc_id) pairs.
+1. One pass over the texts makes a MinHash signature and band keys.
 2. Documents of one shingle set are joined by a 128-bit hash of it, and only the least doc_id of each goes on.
-3. Documents of one band bucket are compared with its first: signatures are read in batches of BATCH values, and a
+3. Documents of one band bucket are compared with its least: signatures are read in batches of BATCH values, and a
    candidate goes as soon as the posterior probability that its similarity reaches the threshold, given the matches so
-   far and a uniform prior, falls below MISS. Those that don't match the first are compared with the next that is left,
-   until nothing is left, so no bucket is capped.
-4. Survivors are verified by the exact Jaccard similarity of their shingle sets, at each candidate's leader.
-5. A bucket whose documents these pairs leave in several components is compared again, every document with every one of
-   another component, and survivors are verified in tiles. So a candidate that resembles its leader too little, or whose
-   partner doesn't resemble the leader, is held against all of its bucket.
-6. Connected components of verified pairs are the groups; the least doc_id of each stays.
+   far and a uniform prior, falls below MISS. Survivors are verified by the exact Jaccard similarity of their shingle sets.
+4. A bucket whose documents these pairs leave in several components is compared whole: every document with every one of
+   another component, in the same two steps, in tiles (see ``tiles``). So a candidate that resembles the least too little,
+   or whose partner doesn't resemble it, is held against all of its bucket, and no bucket is one task's work.
+5. Connected components of verified pairs are the groups; the least doc_id of each stays.
 
 Defined results: rows of a null doc_id can't be named and are left out of ``groups``; ``deduplicate`` keeps them.
-Texts that are null, empty or without a word resemble nothing and stay. A text shorter than a shingle is one shingle.
-doc_id is the identity of a document: repeated rows of one doc_id count as one document, and one of them stays.
-Columns other than doc_id and text are never read. Nothing depends on the order of rows.
+Texts that are null, empty or without a word resemble nothing. A text shorter than a shingle is one shingle.
+``groups`` has one row for each doc_id; of several texts under one doc_id, the one of the least set hash is compared.
+``deduplicate`` drops the rows of that text where the doc_id isn't the least of its group; other texts under the doc_id,
+which were compared with nothing, stay. Of rows of the same doc_id and text one stays, that of the least hash of all columns.
+Columns other than doc_id and text are never compared. Nothing depends on the order of rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .minhash import Scheme, band_keys, binaries, jaccard, lists, ragged, sets, signatures
+from .minhash import Scheme, band_keys, binaries, lists, sets, signatures
 from .storage import written
-from .textblocks import mix
+from .tiles import TILE, TILE_SHINGLES, Chooser, buckets, forest, needed, originals, sent, set_hashes, small, tiled, verify
 
 #: Production parameters: shingles of 3 words, 32 bands of 4, the least Jaccard similarity of near copies, the
 #: probability of missing one, and signature values compared at a time.
 SCHEME, THRESHOLD, MISS, BATCH = Scheme(words=3, bands=32, rows=4), 0.6, 0.01, 16
-#: Rows, or elements of an array in them, up to which a table of (doc_id, ...) is sent to all executors; larger ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def small(df: DataFrame, rows: int | None = None, array: str | None = None) -> DataFrame:
-    """Marks ``df`` for broadcast if it has at most BROADCAST_ROWS rows, or elements of the array; it should be a written table."""
-    if array:
-        rows = df.agg(F.coalesce(F.sum(F.greatest(F.size(array), F.lit(1))), F.lit(0))).first()[0]
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
 def least_matches(size: int, threshold: float, miss: float, batch: int) -> tuple[tuple[int, int], ...]:
@@ -69,198 +62,145 @@ def survivors(x: np.ndarray, y: np.ndarray, least: tuple[tuple[int, int], ...])
     return alive
 
 
-def leaders(bucket: np.ndarray, ids: np.ndarray, sig: np.ndarray, least: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(leader, member) pairs of rows sorted by bucket that survive; see the module."""
-    left, pairs = np.arange(len(bucket)), []
-    while len(left):
-        first = np.append(True, bucket[left[1:]] != bucket[left[:-1]])
-        lead = left[np.maximum.accumulate(np.where(first, np.arange(len(left)), 0))]
-        others = np.flatnonzero(~first)
-        if not len(others):
-            break
-        a, b = lead[others], left[others]
-        ok = survivors(sig[a], sig[b], least)
-        pairs.append((ids[a[ok]], ids[b[ok]]))
-        rest = np.ones(len(others), bool)
-        rest[ok] = False
-        left = left[others[rest]]
-    if not pairs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-
-
-def across(bucket: np.ndarray, ids: np.ndarray, component: np.ndarray, sig: np.ndarray, least: tuple[tuple[int, int], ...]):
-    """Surviving (a, b) pairs of different components of rows sorted by bucket: every row with the next one of its bucket, then the one after, and so on."""
-    at, step = np.arange(len(bucket) - 1), 1
-    while len(at := at[at + step < len(bucket)]) and len(at := at[bucket[at] == bucket[at + step]]):
-        a = at[component[at] != component[at + step]]
-        a = a[survivors(sig[a], sig[a + step], least)]
-        if len(a):
-            yield ids[a], ids[a + step]
-        step += 1
-
-
-def whole_groups(batches, key: int = 0, least: int = 1 << 16):
-    """Regroups record batches that are sorted by a column so that none of its values is split."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            rows += batch.num_rows
-        if rows < least:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        k = table.column(key).to_numpy()
-        cut = int(np.searchsorted(k, k[-1], side="left"))
-        if cut:
-            yield table.slice(0, cut)
-            table = table.slice(cut)
-        held, rows, least = table.combine_chunks().to_batches(), table.num_rows, max(1 << 16, 2 * table.num_rows)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Binaries of one length, as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.uint8)
 
 
-def sketches(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """(doc_id, set_a, set_b, bands, sig): a 128-bit hash of the shingle set, band keys and the lowest 8 bits of each signature value; texts without a word are left out."""
+class Leaders(Chooser):
+    """A tile of a leader and its candidates, already chosen."""
 
-    def run(batches):
-        for batch in batches:
-            sig, some = signatures(batch.column(1), scheme)
-            h = np.zeros((len(some), 2), np.uint64)
-            for k, s in enumerate(sets(batch.column(1), scheme.words)):
-                h[k] = mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-            h = h.view(np.int64)
-            out = [batch.column(0).cast(pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), lists(band_keys(sig, scheme), some), binaries(sig.astype(np.uint8))]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "set_a", "set_b", "bands", "sig"]).filter(pa.array(some))
+    columns = ()
 
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
-    return named.mapInArrow(run, "doc_id long, set_a long, set_b long, bands array<long>, sig binary")
+    def __init__(self, table: pa.Table) -> None:
+        pass
 
+    def __call__(self, a: int, others: np.ndarray) -> np.ndarray:
+        return others
 
-def originals(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sketches of the least doc_id of each shingle set, (a, b) of it and each other doc_id of the set); of several sets under one doc_id, the one of the least hash."""
-    own = Window.partitionBy("doc_id")
-    ids = sketched.select("doc_id", "set_a", "set_b").withColumn("one", F.min(F.struct("set_a", "set_b")).over(own)).where("one.set_a = set_a and one.set_b = set_b").drop("one").distinct()
-    named = written(ids.withColumn("first", F.min("doc_id").over(Window.partitionBy("set_a", "set_b"))), "named")
-    firsts = sketched.join(named.where("doc_id = first").drop("first"), ["doc_id", "set_a", "set_b"]).dropDuplicates(["doc_id"])
-    return written(firsts, "firsts"), named.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
 
+def apart(least: tuple[tuple[int, int], ...]) -> type[Chooser]:
+    """Candidates of different components that sequential comparison leaves; what is verified joins their components."""
 
-def buckets(sketched: DataFrame) -> DataFrame:
-    """(bucket, doc_id) of the distinct sets of two or more documents that share a band."""
-    keys = sketched.select("doc_id", F.explode("bands").alias("key"))
-    groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.collect_list("doc_id").alias("ids")).where("n > 1")
-    groups = groups.select("key", F.array_sort(F.array_distinct("ids")).alias("ids")).where(F.size("ids") > 1)
-    return groups.groupBy("ids").agg(F.min("key").alias("bucket")).select("bucket", F.explode("ids").alias("doc_id"))
+    class Apart(Chooser):
+        columns = ("bands", "sig", "component")
 
+        def __init__(self, table: pa.Table) -> None:
+            super().__init__(table)
+            self.sig, self.label = _matrix(table.column("sig")), table.column("component").to_numpy().copy()
 
-def candidates(sketched: DataFrame, shared: DataFrame, scheme: Scheme, threshold: float, miss: float = MISS, batch: int = BATCH) -> DataFrame:
-    """(a, b): leader and member of the pairs of ``shared`` buckets that sequential comparison leaves."""
+        def __call__(self, a: int, others: np.ndarray) -> np.ndarray:
+            others = super().__call__(a, others[self.label[others] != self.label[a]])
+            return others[survivors(np.broadcast_to(self.sig[a], (len(others), self.sig.shape[1])), self.sig[others], least)]
 
-    least = least_matches(scheme.size, threshold, miss, batch)
+        def joined(self, a: int, found: np.ndarray) -> None:
+            self.label[np.isin(self.label, self.label[found])] = self.label[a]
 
-    def run(batches):
-        for part in whole_groups(batches):
-            a, b = leaders(part.column(0).to_numpy(), part.column(1).to_numpy(), _matrix(part.column(2), scheme.size), least)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    return Apart
 
-    rows = shared.join(sketched.select("doc_id", "sig"), "doc_id").select("bucket", "doc_id", "sig")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(run, "a long, b long").distinct()
 
-
-def remaining(sketched: DataFrame, shared: DataFrame, found: DataFrame, scheme: Scheme, threshold: float, miss: float = MISS, batch: int = BATCH) -> DataFrame:
-    """(a, b): all pairs of ``shared`` buckets, but of one component of ``found``, that sequential comparison leaves."""
-
-    least = least_matches(scheme.size, threshold, miss, batch)
+def sketches(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """(doc_id, text_key, set_a, set_b, size, bands, sig): a hash of the text, a 128-bit one of the shingle set and its size,
+    band keys and the lowest 8 bits of each signature value; texts without a word are left out."""
 
     def run(batches):
-        for part in whole_groups(batches):
-            bucket, ids, component = (part.column(k).to_numpy() for k in range(3))
-            for a, b in across(bucket, ids, component, _matrix(part.column(3), scheme.size), least):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for batch in batches:
+            sig, some = signatures(batch.column(2), scheme)
+            made = sets(batch.column(2), scheme.words)
+            h, size = set_hashes(made), np.array([len(s) for s in made], np.int64)
+            out = [batch.column(0), batch.column(1), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(size), lists(band_keys(sig, scheme), some), binaries(sig.astype(np.uint8))]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "text_key", "set_a", "set_b", "size", "bands", "sig"]).filter(pa.array(some))
 
-    per = Window.partitionBy("bucket")
-    placed = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = placed.withColumns({"low": F.min("component").over(per), "high": F.max("component").over(per)}).where("low <> high")
-    rows = placed.join(sketched.select("doc_id", "sig"), "doc_id").select("bucket", "doc_id", "component", "sig")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(run, "a long, b long").distinct()
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
+    return named.mapInArrow(run, "doc_id long, text_key long, set_a long, set_b long, size long, bands array<long>, sig binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs whose exact Jaccard similarity reaches the threshold.
+def _text_key():
+    return F.xxhash64("text")
 
-    Each document's set goes once to every partner a that it is compared at, and a's own set goes there first.
-    """
 
-    def expand(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ragged(sets(batch.column(2), words))], ["doc_id", "at", "shingles"])
+def candidates(firsts: DataFrame, shared: DataFrame, least: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(a, b, size): the least document of a bucket, and each other one of it that sequential comparison leaves, with the size of its set."""
 
-    def compare(batches):
-        lead, own = None, np.zeros(0, np.uint64)
+    def run(batches):
         for batch in batches:
-            out = ([], [], [])
-            for a, b, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if a == b:
-                    if a != lead:
-                        lead, own = a, np.frombuffer(s.as_py(), np.uint64)
-                elif a == lead:
-                    j = jaccard(own, np.frombuffer(s.as_py(), np.uint64))
-                    if j >= threshold:
-                        for column, x in zip(out, (a, b, j)):
-                            column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "jaccard"])
-
-    meet = pairs.select(F.col("b").alias("doc_id"), F.col("a").alias("at")).union(pairs.select("a", "a").distinct())
-    meet = written(meet.groupBy("doc_id").agg(F.collect_list("at").alias("at")), "meet")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
-    expanded = texts.join(small(meet, array="at"), "doc_id").select("doc_id", "at", "text").mapInArrow(expand, "doc_id long, at array<long>, shingles binary")
-    rows = expanded.select(F.explode("at").alias("a"), F.col("doc_id").alias("b"), "shingles")
-    rows = rows.repartition("a").sortWithinPartitions("a", F.col("a") != F.col("b"), "b")
-    return rows.mapInArrow(compare, "a long, b long, jaccard double").dropDuplicates(["a", "b"])
-
-
-def _labels(docs: DataFrame, scheme: Scheme, threshold: float, miss: float) -> DataFrame:
-    """(node, component) of every doc_id that resembles another."""
-    from .fingerprints import _verified  # which imports this module
-
-    sketched, copies = originals(written(sketches(docs, scheme), "sketches"))
-    shared = written(buckets(sketched), "buckets")
-    pairs = written(candidates(sketched, shared, scheme, threshold, miss), "pairs")
-    alike = written(verified(docs, pairs, scheme.words, threshold).select("a", "b"), "alike")
-    more = written(remaining(sketched, shared, components(alike, "a", "b"), scheme, threshold, miss).join(pairs, ["a", "b"], "left_anti"), "remaining")
-    if more.count():
-        alike = alike.union(_verified(docs, more, sketched.select("doc_id", "set_a", "set_b"), scheme.words, threshold).select("doc_a", "doc_b"))
-    return components(alike.union(copies), "a", "b")
+            at = pa.array(survivors(_matrix(batch.column(3)), _matrix(batch.column(4)), least))
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in range(3)], ["a", "b", "size"])
+
+    pairs = shared.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
+    with_b = pairs.join(firsts.select(F.col("doc_id").alias("b"), "size", F.col("sig").alias("y")), "b")
+    both = with_b.join(firsts.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a")
+    return both.select("a", "b", "size", "x", "y").mapInArrow(run, "a long, b long, size long")
+
+
+def _edges(a, b, _):
+    return forest(a, b)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """(a, b) of the ``candidates`` whose exact Jaccard similarity reaches the threshold; those of one leader are spread over as many tiles as they fill."""
+    counts = pairs.groupBy("a").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("size") / TILE_SHINGLES)).cast("int").alias("k"))
+    tile = F.xxhash64("a", "part").alias("tile")
+    none = F.lit(None).cast("long").alias("bucket")
+    members = pairs.join(counts, "a").withColumn("part", F.pmod(F.xxhash64("b", F.lit(7)), F.col("k")).cast("int")).select(tile, none, F.lit(2).alias("kind"), F.col("b").alias("doc_id"))
+    leaders = counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(tile, none, F.lit(1).alias("kind"), F.col("a").alias("doc_id"))
+    rows = sent(docs, members.union(leaders), firsts.select("doc_id", "set_a", "set_b"), words)
+    return verify(rows, Leaders, threshold, _edges, "a long, b long")
+
+
+def remaining(docs: DataFrame, firsts: DataFrame, shared: DataFrame, found: DataFrame, words: int, threshold: float, least: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(a, b): edges that join what is alike in the buckets that the components ``found`` don't join."""
+    component = F.coalesce("component", "doc_id")
+    placed = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", component)
+    split = placed.groupBy("bucket").agg(F.min("component").alias("low_c"), F.max("component").alias("high_c")).where("low_c <> high_c").select("bucket")
+    rows = written(tiled(placed.join(written(split, "split"), "bucket").drop("component")), "apart")
+    labels = firsts.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", component)
+    marks = labels.select("doc_id", "set_a", "set_b", "bands", "sig", "component")
+    chooser = apart(least)
+    meet = needed(rows.join(marks.drop("set_a", "set_b"), "doc_id"), chooser)
+    return verify(sent(docs, meet, marks, words), chooser, threshold, _edges, "a long, b long")
+
+
+def _labels(docs: DataFrame, scheme: Scheme, threshold: float, miss: float) -> tuple[DataFrame, DataFrame]:
+    """(sketches; (doc_id, set_a, set_b, group_id) of every doc_id whose text has a word)."""
+    least = least_matches(scheme.size, threshold, miss, BATCH)
+    sketched = written(sketches(docs, scheme), "sketches")
+    firsts, named = originals(sketched)
+    shared = buckets(firsts)
+    pairs = written(candidates(firsts, shared, least), "pairs")
+    alike = written(verified(docs, pairs, firsts, scheme.words, threshold), "alike")
+    more = written(remaining(docs, firsts, shared, components(alike, "a", "b"), scheme.words, threshold, least), "remaining")
+    found = written(components(alike.union(more), "a", "b").withColumnRenamed("node", "first"), "components")
+    return sketched, named.join(small(found), "first", "left").select("doc_id", "set_a", "set_b", F.coalesce("component", "first").alias("group_id"))
 
 
 def groups(docs: DataFrame, scheme: Scheme = SCHEME, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """(doc_id, group_id, keep) of every distinct doc_id; group_id is the least doc_id of its group."""
-    found = _labels(docs, scheme, threshold, miss)
+    _, found = _labels(docs, scheme, threshold, miss)
     all_ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    named = all_ids.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    group = F.coalesce("component", "doc_id")
+    named = all_ids.join(found, "doc_id", "left")
+    group = F.coalesce("group_id", "doc_id")
     return named.select("doc_id", group.alias("group_id"), (group == F.col("doc_id")).alias("keep"))
 
 
 def deduplicate(docs: DataFrame, scheme: Scheme = SCHEME, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Texts are shuffled only where the ids that go are many."""
-    found = _labels(docs, scheme, threshold, miss)
-    gone = found.where("node <> component").select(F.col("node").alias("__gone"))
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__again"))
-    gone, repeated = written(gone, "gone"), written(repeated, "repeated")
-    left = docs.join(small(gone), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    sketched, found = _labels(docs, scheme, threshold, miss)
+    own = f"{uuid.uuid4().hex}"  # no column of docs has such a name
+    doc_id = F.col("doc_id").cast("long")
+    texts = sketched.select("doc_id", "text_key", "set_a", "set_b").join(found.where("group_id <> doc_id"), ["doc_id", "set_a", "set_b"])
+    gone = written(texts.select(F.col("doc_id").alias(f"{own}_id"), F.col("text_key").alias(f"{own}_text")).distinct(), "gone")
+    left = docs.join(small(gone), (doc_id == F.col(f"{own}_id")) & (_text_key() == F.col(f"{own}_text")), "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy(doc_id.alias(f"{own}_again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(f"{own}_again")
+    repeated = written(repeated, "repeated")
     n = repeated.count()
     if not n:
         return left
     again = small(repeated, n)
-    once = left.join(again, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(once)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = left.join(again, doc_id == F.col(f"{own}_again"), "left_semi").select("doc_id", "text", whole.alias("whole"))
+    once = rows.groupBy("doc_id", "text").agg(F.min_by("whole", F.xxhash64(F.to_json("whole"))).alias("whole")).select("whole.*")
+    return left.join(again, doc_id == F.col(f"{own}_again"), "left_anti").unionByName(once)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Tables written between the steps of an operator, in the folder that all executors share.
 
-The folder is the one named in spark.checkpoint.dir; where that is unset, as in tests, a temporary one is set. Written
-tables cut the lineage: they outlive any executor. They are removed by ``release``, or when the process ends.
+The folder is the one named in spark.checkpoint.dir. Where that is unset, a session on one machine (a local master, as in
+tests) gets a temporary one, and any other is refused: its executors would each write to a disk of their own. Written
+tables cut the lineage: they outlive any executor. They are removed by ``discard`` and ``release``, or when the process ends.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder: this operator writes tables between its steps, in a folder that all executors share")
         found = tempfile.mkdtemp(prefix="flowtree-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -26,10 +30,12 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/flowtree-{uuid.uuid4().hex}/{name}"
-    _written.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_folder(spark)}/flowtree-{uuid.uuid4().hex}"
+    _written.append((spark, folder))
+    df.write.parquet(f"{folder}/{name}")
+    made = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    made.flowtree_folder = folder
+    return made
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -38,12 +44,17 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes a table that ``written`` returned; nothing that still reads it may be run any more."""
+    remove(df.sparkSession, df.flowtree_folder)
+    _written[:] = [w for w in _written if w[1] != df.flowtree_folder]
+
+
 def release() -> None:
     """Removes every table written so far; results that still read one must have been consumed."""
     while _written:
-        spark, path = _written.pop()
         try:
-            remove(spark, path.rpartition("/")[0])
+            remove(*_written.pop())
         except Exception:  # noqa: BLE001 - the session has ended, and with it the access to the folder
             return
 

@@ -18,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+#: Bytes of a block, and of a stretch of it that is hashed at a time; a longer token is a stretch.
+BLOCK, STRETCH = 1 << 20, 1 << 17
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -55,7 +56,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
     up[0] = down[0] = 1
     made = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    if size <= 4 * BLOCK:
+    if size == STRETCH:
         _kept[size] = made
     return made
 
@@ -84,21 +85,16 @@ def blocks(texts: pa.Array | pa.ChunkedArray, lower: bool = True, most: int = BL
         texts = texts.combine_chunks()
     if not len(texts):
         return
-    if not pa.types.is_large_string(texts.type):
-        texts = texts.cast(pa.large_string())
-    texts = pc.fill_null(texts, "")
-    lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(lengths)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     first = 0
     while first < len(texts):
         base = ends[first - 1] if first else 0
         end = max(first + 1, int(np.searchsorted(ends, base + most, side="right")))
-        part = texts.slice(first, end - first)
+        part = pc.fill_null(texts.slice(first, end - first), "")
         if lower:
             part = lowered(part)
-            if not pa.types.is_large_string(part.type):
-                part = part.cast(pa.large_string())
-        off = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+        kind = np.int64 if pa.types.is_large_string(part.type) else np.int32
+        off = np.frombuffer(part.buffers()[1], kind)[part.offset : part.offset + len(part) + 1].astype(np.int64)
         data = np.frombuffer(part.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
         yield first, end, data, off - off[0]
         first = end
@@ -122,11 +118,11 @@ def tokens(data: np.ndarray, off: np.ndarray, table: np.ndarray = WORDS, prefix:
     rows = np.searchsorted(off, begins, side="right") - 1
     full, heads = np.empty(len(begins), np.uint64), np.empty(len(begins) if prefix else 0, np.uint64)
     i = 0
-    while i < len(begins):  # one turn, but for texts longer than a block
+    while i < len(begins):  # as much at a time as stays in the processor's cache
         a = begins[i]
-        k = max(i + 1, int(np.searchsorted(ends, a + 2 * BLOCK, side="right")))
+        k = max(i + 1, int(np.searchsorted(ends, a + STRETCH, side="right")))
         z = ends[k - 1]
-        up, down = _powers(1 << max(21, int(z - a).bit_length()))
+        up, down = _powers(max(STRETCH, 1 << int(z - a).bit_length()))
         sums = np.zeros(z - a + 1, np.uint64)
         np.cumsum(_LETTERS[data[a:z]] * up[: z - a], out=sums[1:])
         b, e = begins[i:k] - a, ends[i:k] - a

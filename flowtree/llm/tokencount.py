@@ -3,8 +3,10 @@
 Texts are cut into pre-tokens by a pattern. The distinct pre-tokens of a batch that have not been counted before are
 held as ragged numpy arrays of symbols; in each round every sequence applies its lowest-rank pair, the leftmost of equals, all
 sequences at once, until no sequence has a pair left. The symbols that survive are the tokens. A pair's rank is that
-of its joined bytes in the vocabulary. Pre-tokens longer than LONG bytes are merged one by one with a heap instead, with
-the same result, as the arrays would take quadratic time for them.
+of its joined bytes in the vocabulary. Pre-tokens longer than LONG bytes are merged all together in order of rank: their
+symbols are arrays linked to their neighbours, and a round applies one rank wherever it stands, touching no other
+symbol, so that time follows the length. Should a merge make a pair of a lower rank than its own beside others of its
+round, that pre-token is counted again by single merges; vocabularies made by merging in order of rank have no such pair.
 
 The vocabulary is read on the driver, from the path given, and its pair table travels with the tasks.
 
@@ -28,8 +30,8 @@ from . import labelled
 #: Production parameters: the vocabulary (token in base64 and rank a line) and the pre-token pattern that it goes with.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes beyond which a pre-token is merged with a heap; characters of text handled at a time; pre-tokens remembered.
-LONG, CHUNK, REMEMBERED = 256, 1 << 20, 400_000
+#: Bytes beyond which pre-tokens are merged in linked arrays; characters of text handled at a time; pre-tokens and their characters remembered.
+LONG, CHUNK, REMEMBERED, REMEMBERED_CHARS = 256, 1 << 20, 400_000, 16 << 20
 _NONE = np.int64(1 << 40)
 
 
@@ -65,8 +67,9 @@ def merged(words: list[bytes], pairs: Pairs) -> np.ndarray:
     """The token count of each pre-token."""
     counts = np.zeros(len(words), np.int64)
     lengths = np.array([len(w) for w in words], np.int64)
-    for k in np.flatnonzero(lengths > LONG):
-        counts[k] = _heap(words[k], pairs)
+    long = np.flatnonzero(lengths > LONG)
+    if len(long):
+        counts[long] = linked([words[k] for k in long], pairs)
     which = np.flatnonzero((lengths > 0) & (lengths <= LONG))
     if not len(which):
         return counts
@@ -109,33 +112,77 @@ def _adjacent(symbols: np.ndarray, owner: np.ndarray, pairs: Pairs) -> np.ndarra
     return _pair_at(symbols, owner, np.arange(len(symbols)), pairs)
 
 
-def _heap(word: bytes, pairs: Pairs) -> int:
-    table = dict(zip(pairs.keys.tolist(), pairs.joined.tolist()))
-    symbol, n = pairs.bytes[np.frombuffer(word, np.uint8)].tolist(), len(word)
-    left, right, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-    heap = [(r, i, symbol[i], symbol[i + 1]) for i in range(n - 1) if (r := table.get(symbol[i] << 20 | symbol[i + 1])) is not None]
-    heapq.heapify(heap)
-    count = n
+def linked(words: list[bytes], pairs: Pairs) -> np.ndarray:
+    """The token count of each of some long pre-tokens."""
+    symbols = pairs.bytes[np.frombuffer(b"".join(words), np.uint8)]
+    ends = np.cumsum([len(w) for w in words])
+    owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    n = len(symbols)
+    after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+    after[ends - 1] = -1
+    before[np.append(0, ends[:-1])] = -1
+    rank, waiting, heap, odd = np.full(n, _NONE), {}, [], set()
+
+    def look(at: np.ndarray) -> np.ndarray:
+        """Ranks the pairs that begin at ``at`` anew, and puts them in line."""
+        nxt = after[at]
+        found = np.where(nxt >= 0, pairs.of(symbols[at], symbols[nxt]), _NONE)
+        rank[at] = found
+        order = np.argsort(found, kind="stable")
+        order = order[: np.searchsorted(found[order], _NONE)]
+        cuts = np.flatnonzero(np.diff(found[order])) + 1
+        for part in np.split(order, cuts) if len(order) else ():
+            r = int(found[part[0]])
+            if r not in waiting:
+                waiting[r] = []
+                heapq.heappush(heap, r)
+            waiting[r].append(at[part])
+        return found
+
+    look(np.arange(n))
     while heap:
-        r, i, a, b = heapq.heappop(heap)
-        j = right[i]
-        if not alive[i] or j >= n or symbol[i] != a or symbol[j] != b:
+        r = heapq.heappop(heap)
+        at = np.unique(np.concatenate(waiting.pop(r)))
+        at = at[alive[at] & (rank[at] == r)]
+        if not len(at):
             continue
-        symbol[i], alive[j], right[i] = r, False, right[j]
-        if right[i] < n:
-            left[right[i]] = i
-        count -= 1
-        for x, y in ((left[i], i), (i, right[i])):
-            if x >= 0 and y < n and (q := table.get(symbol[x] << 20 | symbol[y])) is not None:
-                heapq.heappush(heap, (q, x, symbol[x], symbol[y]))
-    return count
+        # of pairs that overlap, every second one from the left
+        begins = np.append(True, after[at[:-1]] != at[1:])
+        place = np.arange(len(at))
+        at = at[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0]
+        right = after[at]
+        symbols[at], alive[right], after[at] = r, False, after[right]
+        follows = after[at] >= 0
+        before[after[at][follows]] = at[follows]
+        touched = np.unique(np.concatenate([at, before[at][before[at] >= 0]]))
+        lower = touched[look(touched) < r]
+        if len(lower):
+            several, times = np.unique(owner[at], return_counts=True)
+            odd.update(np.intersect1d(owner[lower], several[times > 1]).tolist())
+    counts = np.bincount(owner[alive], minlength=len(words))
+    for k in odd:
+        counts[k] = one_by_one(words[k], pairs)
+    return counts
+
+
+def one_by_one(word: bytes, pairs: Pairs) -> int:
+    """The token count by single merges."""
+    symbols = pairs.bytes[np.frombuffer(word, np.uint8)]
+    while len(symbols) > 1:
+        ranks = pairs.of(symbols[:-1], symbols[1:])
+        at = int(np.argmin(ranks))
+        if ranks[at] == _NONE:
+            break
+        symbols[at] = ranks[at]
+        symbols = np.delete(symbols, at + 1)
+    return len(symbols)
 
 
 class Counter:
     """Counts the tokens of texts, remembering pre-tokens (which ones are remembered never changes a count)."""
 
     def __init__(self, pairs: Pairs, pattern: str = PATTERN) -> None:
-        self.pairs, self.find, self.known = pairs, regex.compile(pattern).findall, {}
+        self.pairs, self.find, self.known, self.size = pairs, regex.compile(pattern).findall, {}, 0
 
     def count(self, texts: list[str | None]) -> list[int | None]:
         out: list[int | None] = []
@@ -146,9 +193,11 @@ class Counter:
                 size += len(texts[end] or "")
                 end += 1
             found = [None if t is None else self.find(t) for t in texts[k:end]]
-            if len(self.known) > REMEMBERED:
+            if len(self.known) > REMEMBERED or self.size > REMEMBERED_CHARS:
                 self.known.clear()
+                self.size = 0
             new = list(set().union(*(f for f in found if f)) - self.known.keys())
+            self.size += sum(map(len, new))
             self.known.update(zip(new, merged([w.encode("utf-8", "surrogatepass") for w in new], self.pairs).tolist()))
             out += [None if f is None else sum(map(self.known.__getitem__, f)) for f in found]
             k = end

@@ -15,10 +15,13 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_near_dedup": neardup.op9_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    # on fixtures, of what the test tables don't hold
+    "chat_tool_calls": chat.chat_tool_calls,
 }
 ORACLE = {
     "op3_chat": chat.sql(),
     "op6_mixing": mixing.sql(),
     "op7_url_filter": urlfilter.sql(),
     "op8_licenses": licenses.sql(),
+    "chat_tool_calls": chat.tool_calls_sql(),
 }

@@ -47,6 +47,27 @@ def test_token_counts_of_random_text(encoding):
     assert tokencount.Counter(tokencount.vocabulary()).count(texts) == [len(encoding.encode_ordinary(t)) for t in texts]
 
 
+def test_token_counts_of_long_pre_tokens(encoding):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters, n in (("abcdefghijklmnopqrstuvwxyz", 20_000), ("ACGT", 100_000), ("漢字仮名交", 4000), ("-", 999), ("0", 1000))] + ["".join(rng.choice("abcdefg") for _ in range(rng.randint(257, 600))) for _ in range(100)]
+    pairs = tokencount.vocabulary()
+    assert tokencount.Counter(pairs).count(texts) == [len(encoding.encode_ordinary(t)) for t in texts]
+    words = [b"over and over the rivers" * 20, b"zzzzzzz" * 50]
+    assert tokencount.linked(words, pairs).tolist() == [tokencount.one_by_one(w, pairs) for w in words]
+
+
+def test_a_merge_that_makes_a_lower_rank_is_counted_singly():
+    ranks = {bytes([b]): b for b in range(256)} | {b"aab": 300, b"ab": 400, b"ba": 500}
+    names = list(ranks)
+    keys = {(ranks[t[:k]] << 20 | ranks[t[k:]]): ranks[t] for t in names for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+    import numpy as np
+
+    order = sorted(keys)
+    pairs = tokencount.Pairs(np.array(order), np.array([keys[k] for k in order]), np.arange(256))
+    for word in (b"aabab" * 80, b"abaab" * 77, b"ba" * 200):
+        assert tokencount.linked([word], pairs)[0] == tokencount.one_by_one(word, pairs)
+
+
 def test_token_counts_of_odd_rows(odd, none):
     got = rows(tokencount.token_counts(odd))
     assert len(got) == odd.count() and (2, None) in got and (3, 0) in got and tokencount.token_counts(none).count() == 0
@@ -73,6 +94,21 @@ def test_schedule_keeps_to_weights_and_blocks(docs):
     assert abs(running.iloc[50:] - 0.75).max() < 0.08  # any stretch, not just the whole
 
 
+def test_points_of_any_slot(spark):
+    slots = [0, 1, 5, 2**32 - 1, 2**32, 3_474_701_533, 3_474_701_534, 10**12, 10**15 + 7]
+    got = [r[0] for r in spark.createDataFrame([(k, i) for k, i in enumerate(slots)], "k long, slot long").orderBy("k").select(mixing.points(F.col("slot"))).collect()]
+    assert got == [i * 2654435769 % 2**32 for i in slots]
+    late = spark.range(3_474_701_533, 3_474_711_533).withColumnRenamed("id", "slot")
+    totals = spark.createDataFrame([("a", 30, 3), ("b", 10, 1)], "source string, n long, blocks long")
+    got = dict(map(tuple, mixing.drawn(late, mixing.spans(totals, None, 1.0), 2).groupBy("source").count().collect()))
+    assert abs(got["a"] - 7500) < 10 and abs(got["b"] - 2500) < 10
+
+
+def test_schedule_of_ten_thousand_sources(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 10_000).alias("source"), F.repeat(F.lit("word "), (F.col("id") % 7).cast("int")).alias("text"))
+    assert rows(mixing.schedule(docs, block_tokens=4)) == sql(mixing.sql("d", 4), d=docs)
+
+
 def test_schedule_of_nothing(none, odd):
     assert mixing.schedule(none).count() == 0 and mixing.schedule(odd, {"nowhere": 1.0}).count() == 0
 
@@ -188,6 +224,47 @@ def test_chat_round_trip_and_empty(spark):
     assert got == want and chat.formatted(conv.limit(0)).count() == 0
 
 
+def deep(n):
+    return '{"a":' * n + "1" + "}" * n
+
+
+@pytest.mark.parametrize(
+    "schema, arguments, good",
+    [
+        ({"required": True}, {"x": 1}, False), ({"type": 5}, {}, False), ({"type": [5]}, {}, False), ({"enum": 5}, {}, False), ({"properties": None}, {"x": 1}, False), ({"properties": {"x": {"minimum": "a"}}}, {"x": 1}, False),
+        ({"properties": {"x": {"minLength": None}}}, {"x": "a"}, False), ({"properties": {"x": {"pattern": "("}}}, {"x": "a"}, False), ({"properties": {"x": 7}}, {"x": "a"}, False), ({"anyOf": []}, {}, False),
+        ({"properties": {"x": {"type": "integer"}}}, '{"x": ' + "9" * 400 + "}", True), ({}, deep(3000), False), ({}, '{"x": NaN}', False), ({}, '{"x": 1e999}', False), ({}, '{"x": "\\ud800"}', True), ({}, deep(100), True),
+        ({"properties": {"x": {"anyOf": [{"type": "string"}, {"type": "null"}]}}}, {"x": 1}, False), ({"properties": {"x": {"anyOf": [{"type": "string"}, {"type": "null"}]}}}, {"x": None}, True), ({"oneOf": [{}, {}]}, {}, False),
+        ({"properties": {"x": {"exclusiveMinimum": 1}}}, {"x": 1}, False), ({"properties": {"x": {"exclusiveMaximum": 2}}}, {"x": 1}, True), ({"properties": {"x": {"pattern": "^a+$"}}}, {"x": "ab"}, False), ({"properties": {"x": {"pattern": "^a+$"}}}, {"x": "aa"}, True),
+        ({"properties": {"x": {"minItems": 2}}}, {"x": [1]}, False), ({"properties": {"x": {"maxItems": 2}}}, {"x": [1, 2]}, True), ({"not": {"required": ["x"]}}, {"x": 1}, False), ({"additionalProperties": False, "properties": {"y": {}}}, {"x": 1}, False),
+    ],
+)
+def test_schemas_and_arguments_of_any_kind(schema, arguments, good):
+    text = arguments if isinstance(arguments, str) else json.dumps(arguments)
+    c = {"nth": 0, "id": "a", "name": "f", "arguments": text, "result": None, "linked": False, "schema": json.dumps(schema), "declared": True}
+    message = {"m": 1, "turn": 0, "role": "assistant", "text": "", "content": "c", "result_of": None, "calling": True}
+    got = chat.conversation(1, [message], [{"m": 1, "calls": [c]}])
+    assert got["n_invalid"] == (not good) and got["n_calls"] == 1
+    read = json.loads(got["messages"].encode(), parse_constant=lambda x: pytest.fail(x))
+    assert ("errors" in read["messages"][0]["tool_calls"][0]) == (not good)
+
+
+def test_hostile_calls_in_spark(spark):
+    data = [
+        (1, 0, "system", json.dumps({"tools": [{"name": "f", "parameters": {"required": True, "type": 5}}]})), (1, 1, "assistant", call("a", "f", {"x": 1})), (1, 2, "assistant", call("b", "f", '{"x": "\\ud800"}')),
+        (1, None, "tool", result("a", "late")), (1, 3, "tool", result("a", "early")), (2, 0, "assistant", call("z", "f", deep(3000))), (2, 1, "user", '{"content": "\\ud800", "tool_call_id": "z"}'), (2, 2, "user", "{" * 5000),
+    ]
+    got = {r.conv_id: r for r in chat.formatted(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1].n_calls, got[1].n_linked, got[1].n_invalid) == (2, 1, 2) and (got[2].n_messages, got[2].n_calls) == (3, 1)
+    assert next(c for m in json.loads(got[1].messages)["messages"] for c in m.get("tool_calls", []) if c["id"] == "a")["result"] == "early"
+
+
+def test_tool_calls_match_sql(spark):
+    from flowtree.llm import queries
+
+    assert rows(chat.chat_tool_calls(spark, brute.SF)) == sql(queries.ORACLE["chat_tool_calls"])
+
+
 def test_reference_cycles_are_cut():
     assert chat.topological([{1}, {0}, set()]) == ([2, 0, 1], 1) and chat.topological([set(), {2}, set()]) == ([0, 2, 1], 0)
 

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     # on fixtures, of what the test tables don't hold
     "chat_tool_calls": chat.chat_tool_calls,
+    "url_redirects": urlfilter.url_redirects,
 }
 ORACLE = {
     "op3_chat": chat.sql(),
@@ -24,4 +25,5 @@ ORACLE = {
     "op7_url_filter": urlfilter.sql(),
     "op8_licenses": licenses.sql(),
     "chat_tool_calls": chat.tool_calls_sql(),
+    "url_redirects": urlfilter.redirects_sql(),
 }

@@ -136,6 +136,46 @@ def test_tracking_parameters_leave_the_others(spark):
     assert got == [n for _, n in cases]
 
 
+def test_normal_forms(spark):
+    cases = [
+        ("http://h.example/p?page=1", "h.example/p?page=1"), ("http://h.example/p?page=2", "h.example/p?page=2"), ("http://m.example/x", "m.example/x"), ("http://www.example", "www.example"), ("https://m.a.example/x", "a.example/x"),
+        ("HTTPS://me:secret@WWW.A.example:443/X/", "a.example/X"), ("h.example/?q=a/index.html", "h.example/?q=a/index.html"), ("h.example/d/index.html?ref=1", "h.example/d"), ("h.example:8080/x.htm#y", "h.example:8080/x"), ("//h.example//", "h.example"),
+        ("h.example/?a=http://x.example/?b=1", "h.example/?a=http://x.example/?b=1"), ("?", None), ("  ", None), ("h.example?&&", "h.example"), ("a@b.example/c@d", "b.example/c@d"),
+    ]
+    df = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(cases)], "page_id long, url string")
+    assert [r[0] for r in df.orderBy("page_id").select(urlfilter.normal(F.col("url"))).collect()] == [n for _, n in cases]
+    pages = df.withColumn("html", F.lit(None).cast("string"))
+    assert {(i, c) for c, _, i, _ in rows(urlfilter.decide(pages, spark.createDataFrame(urlfilter.RULES, "decision string, kind string, value string")))} == {(k, n) for k, (_, n) in enumerate(cases)}
+    assert {(i, c) for c, _, i, _ in sql(urlfilter.sql("p"), p=pages)} == {(k, n) for k, (_, n) in enumerate(cases)}
+
+
+def test_random_graphs_of_redirects(spark):
+    rng = random.Random(8)
+    for n, m in ((40, 25), (60, 70)):
+        edges = [(f"h{rng.randrange(n)}.example", f"h{rng.randrange(n)}.example") for _ in range(m)]
+        rules = [(rng.choice(["allow", "block"]), f"h{rng.randrange(n)}.example") for _ in range(8)]
+        group = brute.groups([f"h{i}.example" for i in range(n)], [e for e in edges if e[0] != e[1]])
+        members = {}
+        for i, g in group.items():
+            members.setdefault(g, set()).add(i)
+        want = {}
+        for i in range(n):
+            said = {d for d, h in rules if h in members[group[f"h{i}.example"]]}
+            want[i] = "allow" if "allow" in said else "block" if said else "none"
+        pages = spark.createDataFrame([(i, f"http://h{i}.example/") for i in range(n)], "page_id long, url string").withColumns({"html": F.repeat(F.lit("long text without a link "), 9999), "node": F.lit(1), "bare": F.lit(2), "component": F.lit(3), "decision": F.lit(4)})
+        half = len(edges) // 2
+        tagged = spark.createDataFrame([(1000 + k, f"http://{a}", f'<link rel="canonical" href="http://{b}/">') for k, (a, b) in enumerate(edges[:half])], "page_id long, url string, html string")
+        got = urlfilter.decide(pages.select("page_id", "url", "html", "node", "bare", "component", "decision").unionByName(tagged, allowMissingColumns=True), spark.createDataFrame([(d, "domain", h) for d, h in rules], "decision string, kind string, value string"), spark.createDataFrame(edges[half:], "from_url string, to_url string"))
+        assert got.columns == ["page_id", "url", "component", "decision"] and {r.page_id: r.decision for r in got.collect() if r.page_id < 1000} == want
+
+
+def test_url_redirects_match_sql(spark):
+    from flowtree.llm import queries
+
+    got = rows(urlfilter.url_redirects(spark, brute.SF))
+    assert got == sql(queries.ORACLE["url_redirects"]) and {"allow", "block", "none"} == {r[1] for r in got}
+
+
 def test_relative_links_stay_on_their_site(spark):
     tag = '<link rel="canonical" href="{}">'
     pages = [

@@ -17,17 +17,19 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, per_class: int = PER
     """(doc_id, lang, text, y) of about ``per_class`` labelled documents of each class.
 
     Drawn by a hash of doc_id at the rate that the class counts give, so neither a sort nor a window over all labels
-    is needed. The join's small side has at most about 2 x per_class rows, whatever the input. Rows with a null
-    doc_id, text or label and labels other than 0 and 1 are left out; repeated labels of one document count once.
+    is needed. Rows with a null doc_id, text or label and labels other than 0 and 1 are left out. Repeated labels of one document
+    count once, and of conflicting ones the 1; of repeated documents one row is used, that of the least hash. So the
+    join's small side and the sample have at most about 2 x per_class rows, whatever the input.
     """
-    lab = labels.select(F.col("doc_id").alias("doc_id"), F.col(column).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    lab = labels.select(F.col("doc_id").alias("doc_id"), F.col(column).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r.y: r.n for r in lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     drawn = F.lit(False)
     for y, n in counts.items():
-        drawn = drawn | ((F.col("y") == y) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, per_class / n)))))
-    chosen = lab.where(drawn).dropDuplicates(["doc_id"])
+        drawn = drawn | ((F.col("y") == y) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)) <= F.lit(int((1 << 62) * min(1.0, per_class / n)))))
     texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("lang").alias("lang"), F.col("text").alias("text")).where("text is not null")
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text", "y")
+    rows = texts.join(F.broadcast(lab.where(drawn)), "doc_id")
+    one = rows.groupBy("doc_id", "y").agg(F.min_by(F.struct("lang", "text"), F.struct(F.xxhash64("text"), F.xxhash64("lang"))).alias("r"))
+    return one.select("doc_id", "r.lang", "r.text", "y")
 
 
 def fitted(sampled: DataFrame, fit: Callable[[pa.Table], object]) -> dict | None:

@@ -67,6 +67,31 @@ def margins(texts: pa.Array, model: Model) -> np.ndarray:
     return out
 
 
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, balance: np.ndarray, order: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, float]:
+    """(weights, bias) after an update for each of ``order``, places of rows (ids, values); per-coordinate FTRL-proximal, the bias without L1."""
+    z, n = np.zeros(1 << bits), np.zeros(1 << bits)
+    zb = nb = bias = 0.0
+
+    def weights(ids):
+        zi = z[ids]
+        return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[ids])) / ALPHA + L2))
+
+    for k in order:
+        ids, x = rows[k]
+        w = weights(ids)
+        p = 1 / (1 + np.exp(-np.clip(bias + w @ x, -35, 35)))
+        g0 = (p - y[k]) * balance[k]
+        g = g0 * x
+        step = (np.sqrt(n[ids] + g * g) - np.sqrt(n[ids])) / ALPHA
+        z[ids] += g - step * w
+        n[ids] += g * g
+        step = (np.sqrt(nb + g0 * g0) - np.sqrt(nb)) / ALPHA
+        zb += g0 - step * bias
+        nb += g0 * g0
+        bias = -zb / ((BETA + np.sqrt(nb)) / ALPHA + L2)
+    return weights(np.arange(1 << bits)), bias
+
+
 def fit(table: pa.Table, seed: int = 7) -> Model | None:
     """Trains on a table of text and y (0 or 1); None unless both classes are there."""
     y = table["y"].to_numpy().astype(np.float64)
@@ -84,29 +109,10 @@ def fit(table: pa.Table, seed: int = 7) -> Model | None:
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    zb = nb = bias = 0.0
-
-    def weights(ids):
-        zi = z[ids]
-        return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[ids])) / ALPHA + L2))
-
     use = np.flatnonzero(~held)
-    for _ in range(max(EPOCHS, -(-LEAST_UPDATES // len(use)))):
-        for k in rng.permutation(use):
-            ids, x = rows[k]
-            w = weights(ids)
-            p = 1 / (1 + np.exp(-np.clip(bias + w @ x, -35, 35)))
-            g0 = (p - y[k]) * balance[k]
-            g = g0 * x
-            step = (np.sqrt(n[ids] + g * g) - np.sqrt(n[ids])) / ALPHA
-            z[ids] += g - step * w
-            n[ids] += g * g
-            step = (np.sqrt(nb + g0 * g0) - np.sqrt(nb)) / ALPHA
-            zb += g0 - step * bias
-            nb += g0 * g0
-            bias = -zb / ((BETA + np.sqrt(nb)) / ALPHA + L2)
-    model = Model(weights(np.arange(1 << BITS)).astype(np.float32), bias, 0.0)
+    order = np.concatenate([rng.permutation(use) for _ in range(max(EPOCHS, -(-LEAST_UPDATES // len(use))))])
+    weights, bias = ftrl(rows, y, balance, order)
+    model = Model(weights.astype(np.float32), bias, 0.0)
     test = np.flatnonzero(held) if held.any() else np.arange(len(y))
     m, t = margins(table["text"].take(test), model), y[test] > 0
     ok = ~np.isnan(m)

@@ -90,3 +90,95 @@ def test_max_pooling_against_loops():
     want = 1 / (1 + np.exp(-(np.array(pooled) @ model.out + model.out_bias)))
     assert toxicity.probabilities(pa.array([text]), model)[0] == pytest.approx(want, abs=1e-4)
     assert toxicity.probabilities(pa.array(["bad words here now"]), model)[0] > 0.5 > toxicity.probabilities(pa.array(["calm good words of peace"]), model)[0]
+
+
+def test_ftrl_against_a_plain_loop():
+    rng = np.random.default_rng(4)
+    rows = [(np.unique(rng.integers(0, 64, 9)), None) for _ in range(40)]
+    rows = [(ids, rng.random(len(ids))) for ids, _ in rows]
+    y, balance, order = rng.integers(0, 2, 40).astype(float), rng.random(40) + 0.5, rng.integers(0, 40, 300)
+    z, n = dict.fromkeys([*range(64), "bias"], 0.0), dict.fromkeys([*range(64), "bias"], 0.0)
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else quality.L1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for k in order:
+        x = {**dict(zip(rows[k][0].tolist(), rows[k][1])), "bias": 1.0}
+        w = {i: weight(i) for i in x}
+        g = (1 / (1 + np.exp(-sum(w[i] * x[i] for i in x))) - y[k]) * balance[k]
+        for i in x:
+            sigma = ((n[i] + (g * x[i]) ** 2) ** 0.5 - n[i] ** 0.5) / quality.ALPHA
+            z[i] += g * x[i] - sigma * w[i]
+            n[i] += (g * x[i]) ** 2
+    weights, bias = quality.ftrl(rows, y, balance, order, bits=6)
+    assert weights == pytest.approx([weight(i) for i in range(64)]) and bias == pytest.approx(weight("bias")) and 0 < np.count_nonzero(weights)
+
+
+def test_gradients_against_differences():
+    rng = np.random.default_rng(6)
+    d, sizes = 5, np.array([4, 2, 7])
+    model = toxicity.Model(None, None, None, None, {w: rng.normal(size=(w * d, 3)) for w in (1, 2, 3)}, {w: rng.normal(size=3) for w in (1, 2, 3)}, rng.normal(size=9), 0.2)
+    x, y, weight = rng.normal(size=(13, d)), np.array([1.0, 0.0, 1.0]), np.array([0.5, 1.0, 2.0])
+
+    def loss():
+        rows, starts = np.repeat(np.arange(3), sizes), np.cumsum(sizes) - sizes
+        total = 0.0
+        for k, s in enumerate(starts):
+            pool = [max(0.0, *(float(model.bias[w][c] + x[i : i + w].ravel() @ f[:, c]) for i in range(s, s + sizes[k] - w + 1))) if sizes[k] >= w else 0.0 for w, f in model.filters.items() for c in range(3)]
+            m = float(np.array(pool) @ model.out + model.out_bias)
+            total += weight[k] * (np.log1p(np.exp(m)) - y[k] * m)
+        return total
+
+    got = toxicity.gradients(model, x, sizes, y, weight)
+    places = [(x, got["x"]), (model.out, got["out"]), *((model.filters[w], got[f"f{w}"]) for w in (1, 2, 3)), *((model.bias[w], got[f"b{w}"]) for w in (1, 2, 3))]
+    for values, gradient in places:
+        for at in rng.integers(0, values.size, 12):
+            kept = values.flat[at]
+            sides = []
+            for e in (1e-4, -1e-4):
+                values.flat[at] = kept + e
+                sides.append(loss())
+            values.flat[at] = kept
+            assert gradient.flat[at] == pytest.approx((sides[0] - sides[1]) / 2e-4, abs=2e-3)
+
+
+def test_thresholds_with_wrong_labels():
+    rng = np.random.default_rng(2)
+    clean, toxic = rng.uniform(0, 0.3, 156), rng.uniform(0.7, 1.0, 60)
+    p, t = np.concatenate([clean, toxic]), np.arange(216) >= 156
+    assert 0.3 < toxicity._threshold(p, t) <= 0.75
+    p[:2] = 0.999, 0.97  # toxic texts labelled as clean
+    assert 0.25 < toxicity._threshold(p, t) <= 0.75
+    p[200:] = rng.uniform(0, 0.2, 16)  # clean texts labelled as toxic: no threshold is lowered to find them
+    assert 0.25 < toxicity._threshold(p, t) <= 0.75
+
+
+def test_languages_are_calibrated_apart():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for lang, bad, good in (("en", "awful", "lovely"), ("de", "furchtbar", "schön")):
+        for i in range(400):
+            y = i % 2
+            words = [f"{lang}{rng.integers(0, 60)}" for _ in range(12)] + [bad if y else good]
+            rows.append((" ".join(rng.permutation(words)), lang, y))
+    rows += [("awful en1", "fr", 1), ("lovely en2", "fr", 0)]
+    model = toxicity.fit(pa.table({"text": [r[0] for r in rows], "lang": [r[1] for r in rows], "y": [r[2] for r in rows]}))
+    assert set(model.by_language) == {"en", "de"}
+    p, toxic = toxicity.flags(pa.array(["this is awful", "this is lovely", "das ist furchtbar", "das ist schön", "awful en1"]), pa.array(["en", "en", "de", "de", None]), model)
+    assert toxic.tolist() == [True, False, True, False, True]
+    model.by_language = {"en": 2.0}
+    assert toxicity.flags(pa.array(["awful", "awful"]), pa.array(["en", "xx"]), model)[1].tolist() == [False, True]
+
+
+def test_samples_of_conflicting_labels_and_repeated_documents(spark):
+    from flowtree.llm import labelled as samples
+
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c")] * 50 + [(3, None), (None, "x")], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, 0), (2, 0), (2, 0), (3, 1), (None, 1), (2, 7)], "doc_id long, toxic int")
+    got = [tuple(r) for parts in (1, 7) for r in samples.sample(docs.repartition(parts), labels.repartition(parts), "toxic").orderBy("doc_id").collect()]
+    assert len(got) == 4 and got[:2] == got[2:] and [(r[0], r[3]) for r in got[:2]] == [(1, 1), (2, 0)]

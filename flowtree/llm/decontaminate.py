@@ -10,7 +10,7 @@ shingles that occur anywhere in the whole document.
 
 Items of fewer words than a shingle are matched as shingles of their own length. Item tables whose signatures fit in
 BROADCAST_BYTES go to every executor, so that one pass over the texts, without a shuffle, finds and verifies; larger
-ones meet the windows' values in a shuffle join instead, with the same result.
+ones meet the windows' values in a shuffle join instead, with the same result; only windows that pass a Bloom filter of the items' keys are shuffled.
 
 Defined results: a null doc_id or item_id can't be named and is left out (``remove`` looks at such rows of documents as at all others); null
 and empty texts, and texts without a word, hold and match nothing. Repeated item rows count once; items of one text
@@ -37,6 +37,8 @@ from .textblocks import blocks, distinct, mix, shingles, tokens
 WORDS, THRESHOLD, HASHES = 5, 0.5, 48
 #: Size of the item index up to which it is sent to every executor.
 BROADCAST_BYTES = 64 << 20
+#: Of the filter that larger tables' keys go through before the join: its bits at most, as a power of two, and bits that a key sets.
+FILTER_BITS, PROBES = 28, 3
 _rng = np.random.default_rng(29)
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -193,6 +195,26 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 
 
+def _probe(keys: np.ndarray, k: int, bits: int) -> np.ndarray:
+    return keys.view(np.uint64) >> np.uint64(17 * k) & np.uint64((1 << bits) - 1)
+
+
+def _filter(known: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits, words) of a Bloom filter of the keys, of 2^bits bits: 16 or more a key, until it has FILTER_BITS."""
+    keys = known.select(F.explode("keys").alias("key"))
+    bits = min(FILTER_BITS, max(6, (16 * keys.count()).bit_length()))
+
+    def places(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_probe(batch.column(0).to_numpy(), k, bits) for k in range(PROBES)]).astype(np.int64))], ["at"])
+
+    at = F.col("at")
+    got = keys.mapInArrow(places, "at long").groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("set")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[got["word"].to_numpy()] = got["set"].to_numpy().view(np.uint64)
+    return bits, words
+
+
 def _joined(texts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """(text_key, item_id, containment) of texts (text_key, text), for item tables of any size, by shuffle joins on window keys and then on the texts.
 
@@ -209,8 +231,17 @@ def _joined(texts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
             types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["item_id", "words", "class", "shingles", "keys"])
 
+    def hits(keys: np.ndarray) -> np.ndarray:
+        """Places of the keys that may be an item's."""
+        at = np.arange(len(keys))
+        for k in range(PROBES):
+            pos = _probe(keys[at], k, bits)
+            at = at[filled[(pos >> 6).astype(np.int64)] >> (pos & np.uint64(63)) & np.uint64(1) == 1]
+        return at
+
     known = written(_named(items, "item_id").distinct().mapInArrow(indexed, "item_id long, words int, class int, shingles binary, keys array<long>"), "items")
     classes = [(r["words"], r["class"]) for r in known.select("words", "class").distinct().collect()]
+    bits, filled = _filter(known)
 
     def windows(batches):
         for batch in batches:
@@ -219,8 +250,11 @@ def _joined(texts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
                 for w, c in classes:
                     g, rows = grams[w]
                     for j in range(HASHES if len(g) else 0):
-                        k, r = distinct(*window_keys(g, rows, c, w, j))
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + r)), pa.array(k.view(np.int64))], ["text_key", "key"])
+                        k, r = window_keys(g, rows, c, w, j)
+                        at = hits(k)
+                        k, r = distinct(k[at], r[at])
+                        if len(k):
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + r)), pa.array(k.view(np.int64))], ["text_key", "key"])
 
     def verify(batches):
         for batch in batches:
@@ -236,8 +270,8 @@ def _joined(texts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
                                 column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["text_key", "item_id", "containment"])
 
-    hits = texts.mapInArrow(windows, "text_key string, key long").join(known.select("item_id", "words", "shingles", F.explode("keys").alias("key")), "key")
-    pairs = hits.select("text_key", "item_id", "words", "shingles").distinct()
+    met = texts.mapInArrow(windows, "text_key string, key long").join(known.select("item_id", "words", "shingles", F.explode("keys").alias("key")), "key")
+    pairs = met.select("text_key", "item_id", "words", "shingles").distinct()
     pairs = pairs.groupBy("text_key").agg(F.collect_list(F.struct("item_id", "words", "shingles")).alias("items"))
     return texts.join(pairs, "text_key").mapInArrow(verify, "text_key string, item_id long, containment double")
 

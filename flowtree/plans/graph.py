@@ -14,6 +14,7 @@ from typing import Any
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import REGISTRY
 from ..types import NAMED
@@ -38,48 +39,60 @@ class Graph:
         return master_table(self, [(source, relationship, target)])
 
 
-class Vertices:
-    """Assertions of vertices, gathered; ``order`` is the column by which the last row wins."""
+class _Assertions:
+    """Assertions, gathered by the rows that they are made of, so that these are read once however many there are."""
 
     def __init__(self) -> None:
-        self.parts: list[DataFrame] = []
+        self.by_rows: list[tuple[DataFrame, list[Column]]] = []
 
-    def add(self, df: DataFrame, entity: str, key: str, value: Column, properties: dict[str, Column] | None = None, order: str | None = None) -> None:
-        self.parts.append(_part(df, {"entity_type": F.lit(entity), "key_property": F.lit(key), "key_value": value.cast("string")}, properties, order))
+    def _add(self, df: DataFrame, key: dict[str, Column], properties: dict[str, Column] | None, order: str | None, where: Column | None) -> None:
+        nothing = F.lit(None).cast("string")
+        there = reduce(lambda x, y: x & y, [c.isNotNull() for c in key.values()] + ([] if where is None else [where]))
+        made = []
+        for name, value in (properties or {None: nothing}).items():
+            fields = [*(c.alias(k) for k, c in key.items()), F.lit(name).cast("string").alias("p"), value.cast("string").alias("x"), _rank(df, order if properties else None).alias("seq")]
+            made.append(F.when(there, F.struct(*fields)))
+        for other, columns in self.by_rows:
+            if other is df:
+                columns += made
+                return
+        self.by_rows.append((df, made))
 
+    def rows(self) -> DataFrame | None:
+        parts = [df.select(F.explode(F.array_compact(F.array(*columns))).alias("a")).select("a.*") for df, columns in self.by_rows]
+        return reduce(DataFrame.unionByName, parts) if parts else None
 
-class Edges:
-    def __init__(self) -> None:
-        self.parts: list[DataFrame] = []
 
-    def add(self, df: DataFrame, kind: str, source: tuple[str, str, Column], target: tuple[str, str, Column], properties: dict[str, Column] | None = None, order: str | None = None) -> None:
-        ends = {f"{side}_{what}": F.lit(x) if what != "value" else x.cast("string") for side, end in (("source", source), ("target", target)) for what, x in zip(("type", "property", "value"), end)}
-        self.parts.append(_part(df, {"relationship_type": F.lit(kind)} | ends, properties, order))
+def _rank(df: DataFrame, order: str | None) -> Column:
+    """What rows are ordered by, alike for all tables: numbers by value (as doubles, then with all their digits), anything else as text, which dates and timestamps sort by too."""
+    c = F.lit(None).cast("string") if order is None else F.col(f"`{order}`")
+    number = order is not None and isinstance(df.schema[order].dataType, T.NumericType)
+    return F.struct((c if number else F.lit(None)).cast("double").alias("d"), (c if number else F.lit(None)).try_cast("decimal(38,9)").alias("n"), (F.lit(None) if number else c).cast("string").alias("s"))
+
 
+class Vertices(_Assertions):
+    """Assertions of vertices; ``order`` is the column by which the last row wins, ``where`` says which rows make any."""
 
-def _part(df: DataFrame, key: dict[str, Column], properties: dict[str, Column] | None, order: str | None) -> DataFrame:
-    """Key columns, a property's name and value (null for the bare assertion), and the order."""
-    seq = F.col(f"`{order}`").cast("string") if order else F.lit(None).cast("string")
-    rank = F.lpad(seq, 40, "0") if order and dict(df.dtypes)[order] in ("bigint", "int", "smallint", "tinyint") else seq
-    if not properties:
-        got = df.select(*(c.alias(k) for k, c in key.items()), F.lit(None).cast("string").alias("p"), F.lit(None).cast("string").alias("x"), F.lit(None).cast("string").alias("seq"))
-    else:
-        pairs = F.array(*(F.struct(F.lit(n).alias("p"), c.cast("string").alias("x")) for n, c in properties.items()))
-        got = df.select(*(c.alias(k) for k, c in key.items()), F.explode(pairs).alias("px"), rank.alias("seq")).select(*key, "px.p", "px.x", "seq")
-    return got.where(" and ".join(f"{k} is not null" for k in key)).dropDuplicates() if not properties else got.where(" and ".join(f"{k} is not null" for k in key))
+    def add(self, df: DataFrame, entity: str, key: str, value: Column, properties: dict[str, Column] | None = None, order: str | None = None, where: Column | None = None) -> None:
+        self._add(df, {"entity_type": F.lit(entity), "key_property": F.lit(key), "key_value": value.cast("string")}, properties, order, where)
+
+
+class Edges(_Assertions):
+    def add(self, df: DataFrame, kind: str, source: tuple[str, str, Column], target: tuple[str, str, Column], properties: dict[str, Column] | None = None, order: str | None = None, where: Column | None = None) -> None:
+        ends = {f"{side}_{what}": F.lit(x) if what != "value" else x.cast("string") for side, end in (("source", source), ("target", target)) for what, x in zip(("type", "property", "value"), end)}
+        self._add(df, {"relationship_type": F.lit(kind)} | ends, properties, order, where)
 
 
-def _merge(spark: SparkSession, parts: list[DataFrame], key: list[str], schema: str) -> DataFrame:
-    if not parts:
+def _merge(spark: SparkSession, rows: DataFrame | None, key: list[str], schema: str) -> DataFrame:
+    if rows is None:
         return spark.createDataFrame([], schema)
-    rows = reduce(DataFrame.unionByName, parts)
     last = rows.groupBy(*key, "p").agg(F.max(F.struct("seq", "x")).alias("m"))
     entry = F.when(F.col("p").isNotNull() & F.col("m.x").isNotNull(), F.struct("p", F.col("m.x").alias("x")))
     return last.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("properties"))
 
 
 def merged(spark: SparkSession, vertices: Vertices, edges: Edges) -> Graph:
-    return Graph(_merge(spark, vertices.parts, _V, VERTICES), _merge(spark, edges.parts, _E, EDGES))
+    return Graph(_merge(spark, vertices.rows(), _V, VERTICES), _merge(spark, edges.rows(), _E, EDGES))
 
 
 @dataclass(frozen=True)
@@ -236,20 +249,19 @@ def _assert(a: Assertion, df: DataFrame, order: str | None, vertices: Vertices,
         vertices.add(df, a.entity_type, a.entity_name_property, col(a.entity_name_column), {a.property_type: _value(a, a.property_column)}, order)
     elif a.kind in ("relationship", "relationship_property"):
         ends = [(getattr(a, f"{side}_entity_type"), getattr(a, f"{side}_name_property"), col(getattr(a, f"{side}_entity_name_column"))) for side in ("source", "target")]
-        both = df.where(ends[0][2].isNotNull() & ends[1][2].isNotNull())
+        both = ends[0][2].isNotNull() & ends[1][2].isNotNull()
         for end in ends:
-            vertices.add(both, *end)
+            vertices.add(df, *end, where=both)
         extra = {a.relationship_property_type: _value(a, a.relationship_property_column)} if a.kind == "relationship_property" else None
         edges.add(df, a.relationship_type, *ends, extra, order)
     elif a.kind == "compound_name":
         parts = [(x["entity_type"], x["entity_name_property"], col(x["column_name"])) for x in a.components]
         ident = F.sha2(F.to_json(F.array(*(p[2].cast("string") for p in parts))), 256)
         there = reduce(lambda x, y: x & y, (p[2].isNotNull() for p in parts))
-        whole = df.where(there)
-        vertices.add(whole, a.entity_type, "uuid", ident)
+        vertices.add(df, a.entity_type, "uuid", ident, where=there)
         for k, (x, part) in enumerate(zip(a.components, parts)):
-            vertices.add(whole, *part)
-            edges.add(whole, f"R{k}", part, (a.entity_type, "uuid", ident), {"component": F.lit(x.get("type"))} if x.get("type") else None)
+            vertices.add(df, *part, where=there)
+            edges.add(df, f"R{k}", part, (a.entity_type, "uuid", ident), {"component": F.lit(x.get("type"))} if x.get("type") else None, where=there)
     elif a.kind == "coreference":
         ends = [(getattr(a, f"{side}_entity_type"), getattr(a, f"{side}_name_property"), col(getattr(a, f"{side}_entity_name_column"))) for side in ("source", "target")]
         edges.add(df, "SAME_AS", *ends)

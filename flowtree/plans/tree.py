@@ -17,6 +17,7 @@ In the first form a field that is null counts as a present key, as the schema sa
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
@@ -32,11 +33,15 @@ _STRINGS = pa.list_(pa.string())
 
 
 def _walk(value: object, into: tuple[list, ...]) -> int:
-    """Appends a document's nodes in pre-order, column by column, and returns their number; ``last`` is the greatest nid below."""
+    """Appends a document's nodes in pre-order, column by column, and returns their number; ``last`` is the greatest nid below.
+
+    Values are kept in a stack, not by recursion, so a document may be nested as deep as the parser reads it.
+    """
     nids, lasts, parents, depths, names, positions, kinds, paths, keys, texts = into
     base, dumps = len(nids), json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
-
-    def visit(x: object, parent: int, depth: int, name: str | None, pos: int | None, path: list[str]) -> None:
+    left: list[tuple] = [(value, -1, 0, None, None, [])]
+    while left:
+        x, parent, depth, name, pos, path = left.pop()
         nid = len(nids) - base
         kind = _KINDS.get(type(x), "number")
         nids.append(nid)
@@ -50,19 +55,25 @@ def _walk(value: object, into: tuple[list, ...]) -> int:
         keys.append(list(x) if kind == "dict" else [])
         texts.append(x if kind == "string" else None if kind == "null" else int.__repr__(x) if type(x) is int else dumps(x))
         if kind == "dict":
-            for k, v in x.items():
-                visit(v, nid, depth + 1, k, None, [*path, k])
+            left += [(v, nid, depth + 1, k, None, [*path, k]) for k, v in reversed(x.items())]
         elif kind == "list":
-            for i, v in enumerate(x):
-                visit(v, nid, depth + 1, None, i, [*path, str(i)])
-        else:
-            return
-        lasts[base + nid] = len(nids) - base - 1
-
-    visit(value, -1, 0, None, None, [])
+            left += [(x[i], nid, depth + 1, None, i, [*path, str(i)]) for i in reversed(range(len(x)))]
+    for at in range(len(nids) - 1, base, -1):  # each node's last goes up before its parent's does
+        up = base + parents[at]
+        if lasts[at] > lasts[up]:
+            lasts[up] = lasts[at]
     return len(nids) - base
 
 
+def _read(text: str) -> object:
+    """The value of JSON text; a half of a surrogate pair, which no text may hold, is replaced."""
+    return json.loads(_SURROGATE.sub(r"\1\\ufffd", text) if "\\u" in text else text)
+
+
+#: A \u escape (not of an escaped backslash) of a half that has no other half beside it.
+_SURROGATE = re.compile(r"((?<!\\)(?:\\\\)*)\\u(?:[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])|(?<!\\u[dD][89abAB][0-9a-fA-F]{2}\\u)[dD][c-fC-F][0-9a-fA-F]{2})")
+
+
 _KINDS = {dict: "dict", list: "list", str: "string", bool: "bool", type(None): "null"}
 _TYPES = {"nid": pa.int32(), "last": pa.int32(), "parent": pa.int32(), "depth": pa.int32(), "key": pa.string(), "pos": pa.int32(), "kind": pa.string(), "path": _STRINGS, "keys": _STRINGS, "v": pa.string()}
 
@@ -72,11 +83,17 @@ def _parse(texts: pa.Array) -> pa.Array:
     sizes, missing = [0], []
     for text in texts.to_pylist():
         try:
-            value = None if text is None else json.loads(text)
+            value = None if text is None else _read(text)
             missing.append(text is None)
         except (ValueError, RecursionError):
             missing.append(True)
-        sizes.append(sizes[-1] + (0 if missing[-1] else _walk(value, into)))
+        try:
+            sizes.append(sizes[-1] + (0 if missing[-1] else _walk(value, into)))
+        except RecursionError:  # nested beyond what the encoder writes
+            missing[-1] = True
+            sizes.append(sizes[-1])
+            for column in into:
+                del column[sizes[-1] :]
     flat = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(into, _TYPES.values())], list(_TYPES))
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat, mask=pa.array(missing))
 

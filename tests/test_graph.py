@@ -75,3 +75,22 @@ def test_statements(made):
 def test_empty_table(spark):
     g = graph.TableModel.from_config(CONFIG).to_graph({"rental": spark.createDataFrame([], "person_id int, item_id int, city string, day string")})
     assert g.vertices.count() == 0 and g.edges.count() == 0
+
+
+@pytest.mark.parametrize("kind, values", [("double", [9.5, 10.5]), ("int", [-5, -3]), ("decimal(10,2)", ["9.50", "10.50"]), ("bigint", [2**53, 2**53 + 1]), ("string", ["a", "b"]), ("timestamp", ["2020-01-01 00:00:00", "2020-01-01 00:00:01"]), ("date", ["1999-12-31", "2000-01-01"])])
+def test_the_last_row_by_order_columns_of_any_type(spark, kind, values):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "old", str(values[0])), (1, "new", str(values[1])), (1, "none", None)], "k int, v string, o string").withColumn("o", F.col("o").cast(kind))
+    config = {"t": {"data_config": [{"name": {"entity_type": "K", "property_column": "k", "property_type": "ID"}}, {"property": {"entity_name_column": "k", "property_column": "v", "property_type": "V"}}]}}
+    for rows in (df, df.orderBy(F.col("o").desc())):
+        (r,) = graph.TableModel.from_config(config).to_graph({"t": rows}, {"t": "o"}).vertices.collect()
+        assert r.properties == {"V": "new"}
+
+
+def test_a_table_is_read_once_whatever_its_assertions(spark, tmp_path):
+    spark.createDataFrame([(1, 2, "x")], "person_id int, item_id int, city string").selectExpr("*", "'d' AS day", "1 AS seq").write.parquet(str(tmp_path / "t"))
+    g = graph.TableModel.from_config(CONFIG).to_graph({"rental": spark.read.parquet(str(tmp_path / "t"))}, {"rental": "seq"})
+    for df in (g.vertices, g.edges):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 1

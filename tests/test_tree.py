@@ -167,3 +167,15 @@ def test_syntax_errors(text):
 
 def test_fragments_parse():
     assert len(mtl.parse("(HAS KEY a OR TOP); GO UP UNTIL TOP AS x; a.b AS c, f(d) AS e; f(g(a.b), c); SELECT a AS b FROM obj;")) == 5
+
+
+def test_documents_nested_deep_and_with_halves_of_characters(spark):
+    deep = "[" * 1500 + "7" + "]" * 1500
+    texts = [(1, deep), (2, "[" * 90_000 + "]" * 90_000), (3, '{"a": "\\ud800", "b": "\\ud83d\\ude00"}'), (4, "not json"), (5, None), (6, '{"a": "kept \\\\ud800"}')]
+    from flowtree.plans import tree
+
+    rows = tree.splitter(spark.createDataFrame(texts, "id int, doc string"), "doc").select("id", "depth", "key", "v", "last").collect()
+    of = {i: [r for r in rows if r.id == i] for i in range(1, 7)}
+    assert len(of[1]) == 1501 and {r.last for r in of[1]} == {1500} and of[1][-1].v == "7"
+    assert not of[2] and not of[4] and not of[5]
+    assert {r.key: r.v for r in of[3] if r.key} == {"a": "\ufffd", "b": "\U0001f600"} and {r.key: r.v for r in of[6] if r.key} == {"a": "kept \\ud800"}

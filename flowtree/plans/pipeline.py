@@ -13,6 +13,7 @@ import importlib
 import os
 import re
 import sys
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -29,6 +30,9 @@ from ..functions.registry import ALLOWED_MODULES
 from . import graph as graphs
 from . import mtl
 
+#: Options that are taken, so that a configuration written for message queues loads, and have no effect on a plan: there are no
+#: messages in transit to wait for, to time or to end. A warning names them.
+WITHOUT_EFFECT = frozenset("throttle keep_alive summary batch send_termination_message break_test delay on_failure block to_row_obj send_batch_markers missing_keypath_action include_headers database".split())
 #: Options that every node takes.
 COMMON = frozenset(
     "name input_message_keypath retain_input prefer_existing_value input_mapping post_process_function post_process_keypath post_process_function_kwargs throttle max_errors error_test max_messages_received "
@@ -51,6 +55,8 @@ class NodeClass:
     def checked(self, name: str, given: dict[str, Any]) -> None:
         unknown = set(given) - set(self.options) - COMMON
         missing = {o for o, needed in self.options.items() if needed} - set(given)
+        if idle := sorted(o for o in WITHOUT_EFFECT & set(given) if given[o] not in (None, False, 0)):
+            warnings.warn(f"{name}: options without an effect: {', '.join(idle)}", stacklevel=3)
         if unknown or missing:
             raise PipelineError(f"{name}: " + "; ".join(x for x in (f"unknown options {sorted(unknown)}" if unknown else "", f"missing options {sorted(missing)}" if missing else "") if x))
 
@@ -430,6 +436,8 @@ class Pipeline:
             out = out.drop(*(f"__in_{c}" for c in before.columns))
         if o.get("retain_input") is False and before is not None and node.class_name not in ("TreeQuery", "CSVReader"):
             made = list(o["mapping"]) if node.class_name == "Remapper" else [c for c in out.columns if c not in before.columns or c == o.get("output_key")]
+            if not made and o.get("key") in out.columns:  # it rewrites its key in place
+                made = [o["key"]]
             out = out.select(*(f"`{c}`" for c in (made or out.columns)))
         if o.get("node_output_key"):
             fresh = [c for c in out.columns if before is None or c not in before.columns]

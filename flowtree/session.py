@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -18,3 +20,15 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's defaults; ``conf`` keys are written with __ for a dot."""
     b = SparkSession.builder.config(map=DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()})
     return (b.master(master) if master else b).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, of spark.checkpoint.dir; on a local master, where it is unset, a temporary one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        found = tempfile.mkdtemp(prefix="flowtree-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")

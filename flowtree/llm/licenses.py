@@ -28,8 +28,10 @@ SPELLINGS = (
     ("copyright holder", "copyright owner"), ("https", "http"), ("favour", "favor"), ("fulfilment", "fulfillment"), ("acknowledgement", "acknowledgment"), ("judgement", "judgment"),
     ("organisation", "organization"),
 )
-#: A line that states a copyright; what stands between words; the first word; breaks of lines and of paragraphs.
-COPYRIGHT = r"^[ #*/;>.-]*(copyright|\(c\)|©).*(\(c\)|©|[0-9][0-9][0-9][0-9])"
+#: A line that states a copyright, with its mark or year, or reserves all rights; a short one that begins with the word alone, and what
+#: such a line of a licence's own text holds and one of names doesn't; what stands between words; the first word; breaks of lines and of paragraphs.
+COPYRIGHT = r"^[ #*/;>.-]*(copyright|\(c\)|©).*(\(c\)|©|[0-9][0-9][0-9][0-9])|^[ #*/;>.-]*all rights reserved[. ]*$"
+NAMED, NOT_NAMES = r"^[ #*/;>.-]*(?:copyright|\(c\)|©):? +[^ ]+(?: +[^ ]+){0,5} *$", r"(notice|holder|owner|licen[cs]e|statement|interest|treat| rights|material|protect|infring|disclaim| in | of | or | to | is | on | that | this | by | for | as |law)"
 MARKS, FIRST, LINES, BLANK = r"[^\p{L}\p{N}]+", r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)", r"\r?\n|\r", r"\n[ \t]*\n[ \t\n]*"
 
 _AS_IS = (
@@ -45,11 +47,17 @@ _MIT = (
     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n"
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 )
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\n"
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\n"
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+)
 _NAMES = {"MIT": ("MIT",), "Apache-2.0": ("Apache", "2.0"), "GPL-3.0": ("GNU General Public", "3"), "GPL-2.0": ("GNU General Public", "2"), "LGPL-2.1": ("GNU Lesser General Public", "2.1"), "LGPL-3.0": ("GNU Lesser General Public", "3"), "AGPL-3.0": ("GNU Affero General Public", "3"), "MPL-2.0": ("Mozilla Public", "2.0")}
 _CC = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
 _CC_WORDS = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial"}
 #: Titles of licences that _NAMES hasn't.
-_TITLES = {"ISC": "ISC License", "0BSD": "Zero-Clause BSD", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License"}
+_TITLES = {"ISC": "ISC License", "0BSD": "Zero-Clause BSD", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Unlicense": "The Unlicense"}
 _STARTS = ("Released under", "Licensed under", "This work is licensed under", "Distributed under", "This software is released under")
 #: Entire texts, a file each, named by licence.
 _TEXTS = Path(__file__).parent / "known_licenses"
@@ -81,9 +89,10 @@ def cc_names(kind: str, version: str) -> list[str]:
 def known_texts() -> list[tuple[str, str]]:
     """(licence, text) of full licences and of the usual one-line notices."""
     out = [("MIT", _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT), ("ISC", _GRANT + ", provided that the above copyright notice and this permission notice appear in all copies." + _ISC)]
+    out += [("Unlicense", _UNLICENSE), ("Unlicense", _UNLICENSE + "\n\nFor more information, please refer to <https://unlicense.org>"), ("Unlicense", _UNLICENSE + "\n\nFor more information, please refer to <https://unlicense.org/>")]
     out += [("0BSD", _GRANT + "." + _ISC), ("BSD-2-Clause", _BSD + _AS_IS)]
     out.append(("BSD-3-Clause", _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n" + _AS_IS))
-    bare = [(name, text) for name, text in out if name != "MIT"]
+    bare = [(name, text) for name, text in out if name not in ("MIT", "Unlicense")]
     out += [(name, "All rights reserved.\n\n" + text) for name, text in bare]
     out += [(name, f"{_TITLES[name]}\n\n{reserved}{text}") for name, text in bare for reserved in ("", "All rights reserved.\n\n")]
     out += whole_texts()
@@ -91,7 +100,9 @@ def known_texts() -> list[tuple[str, str]]:
         out += [(name, title), *((name, f"{start} {the}{title}.") for start in _STARTS for the in ("", "the ")), (name, f"SPDX-License-Identifier: {name}")]
     out += [("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"), *(("CC0-1.0", f"{start} {x}.") for start in _STARTS for x in ("CC0 1.0", "CC0 1.0 Universal"))]
     for name, (title, *version) in _NAMES.items():
-        forms = [f"{title} License", f"{title} License, Version {version[0]}", f"{title} License Version {version[0]}", f"{title} License v{version[0]}"] if version else [f"{title} License"]
+        forms = [f"{title} License"]
+        for v in [*version, *(f"{x}.0" for x in version if "." not in x)]:
+            forms += [f"{title} License, Version {v}", f"{title} License Version {v}", f"{title} License v{v}", f"{title} License {v}"]
         for form in forms[1:] or forms:
             out += [(name, f"{start} {the}{form}.") for start in _STARTS for the in ("", "the ")]
             out.append((name, form))
@@ -107,7 +118,7 @@ def known_texts() -> list[tuple[str, str]]:
 
 def canonical(text: str) -> str:
     """The canonical form, in Python; ``_canonical`` is the same for a part of a text without its copyright lines."""
-    lines = [x for x in re.split(LINES, text.lower()) if not re.search(COPYRIGHT, x)]
+    lines = [x for x in re.split(LINES, text.lower()) if not re.search(COPYRIGHT, x) and (not re.search(NAMED, x) or re.search(NOT_NAMES, x))]
     t = " ".join("".join(c if c.isalpha() or c.isnumeric() else " " for c in "\n".join(lines)).split())
     for a, b in SPELLINGS:
         t = t.replace(a, b)
@@ -158,7 +169,7 @@ def scan(docs: DataFrame, licences: list[tuple[str, str, int, str]] | DataFrame
         table = F.broadcast(spark.createDataFrame(rows, "digest string, license string, size int, first string"))
         sizes, words = sorted({r[2] for r in rows}), sorted({r[3] for r in rows})
     firsts = sorted(set().union({""}, *(spellings_of(w) for w in words)))
-    lines = F.filter(F.split(F.lower(F.col("text")), LINES), lambda x: ~x.rlike(COPYRIGHT))
+    lines = F.filter(F.split(F.lower(F.col("text")), LINES), lambda x: ~x.rlike(COPYRIGHT) & (~x.rlike(NAMED) | x.rlike(NOT_NAMES)))
     form = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.array_join(lines, "\n").alias("t"))
 
     def hashes(parts, scope):
@@ -167,7 +178,8 @@ def scan(docs: DataFrame, licences: list[tuple[str, str, int, str]] | DataFrame
         return F.transform(fit, lambda p: F.struct(F.lit(scope).alias("scope"), F.md5(p).alias("digest")))
 
     every = F.concat(hashes(F.array("t"), "document"), hashes(F.split("t", BLANK), "paragraph"), hashes(F.split("t", "\n"), "line"))
-    found = form.select("doc_id", F.inline(every)).join(table.select("digest", "license"), "digest")
+    parts = form.select("doc_id", F.explode(every).alias("part")).select("doc_id", "part.scope", "part.digest")
+    found = parts.join(table.select("digest", "license"), "digest")
     return found.groupBy("doc_id", "scope", "license").agg(F.count(F.lit(1)).alias("parts"))
 
 
@@ -178,7 +190,7 @@ def sql(docs: str = "documents") -> str:
         t = f"replace({t}, '{a}', '{b}')"
     values = ", ".join(f"('{d}', '{name}')" for d, name, *_ in known())
     return f"""
-WITH form AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '{LINES}'), lambda x: NOT regexp_matches(x, '{COPYRIGHT}')), chr(10)) AS t
+WITH form AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '{LINES}'), lambda x: NOT regexp_matches(x, '{COPYRIGHT}') AND (NOT regexp_matches(x, '{NAMED}') OR regexp_matches(x, '{NOT_NAMES}'))), chr(10)) AS t
   FROM {docs} WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 parts AS (SELECT doc_id, 'document' AS scope, t AS p FROM form
   UNION ALL SELECT doc_id, 'paragraph', unnest(regexp_split_to_array(t, '{BLANK}')) FROM form

@@ -227,6 +227,29 @@ def test_entire_licences_and_identifiers(spark):
     assert not {d for d, _ in whole} & {k for k, (name, _) in enumerate(cases) if not name}
 
 
+def test_licences_with_copyright_lines_of_any_kind(spark):
+    texts = dict((n, t) for n, t in reversed(licenses.known_texts()))
+    heads = ["Copyright Jane Doe\n\n", "Copyright (c) 2019-2021, Some Company Inc.\nAll rights reserved.\n\n", "© Jane\n", "# Copyright: The Foo Authors\n", "All rights reserved.\n"]
+    cases = [("MIT", h + texts["MIT"]) for h in heads] + [("BSD-3-Clause", h + texts["BSD-3-Clause"]) for h in heads]
+    cases += [("Unlicense", texts["Unlicense"]), ("GPL-3.0", "GNU General Public License v3.0"), ("CC0-1.0", "Licensed under CC0 1.0 Universal."), ("Unlicense", "SPDX-License-Identifier: Unlicense")]
+    # lines of the licence itself that begin with the word aren't dropped
+    wrapped = texts["BSD-2-Clause"].replace("must retain the above copyright notice", "must retain the above\ncopyright notice")
+    cases += [("BSD-2-Clause", wrapped)]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {(r.doc_id, r.license) for r in licenses.scan(df).where("scope = 'document' or scope = 'line'").collect()}
+    assert {(k, n) for k, (n, _) in enumerate(cases)} <= got
+    assert rows(licenses.scan(df)) == sql(licenses.sql("d"), d=df)
+
+
+def test_licences_of_odd_rows(odd, none):
+    assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
+    mit = next(t for n, t in licenses.known_texts() if n == "MIT")
+    long = "word " * 300_000 + "\n\nReleased under the MIT License.\n\n"
+    some = odd.withColumn("text", F.when(F.col("doc_id") == 1, F.lit(mit)).when(F.col("doc_id") == 4, F.lit(long)).otherwise(F.col("text")))
+    got = sorted(tuple(r) for r in licenses.scan(some).where("scope <> 'line'").collect())
+    assert got == [(1, "document", "MIT", 2), (4, "paragraph", "MIT", 1)]  # of repeated rows the parts add up
+
+
 # chat
 
 
@@ -344,6 +367,17 @@ def test_stages_each_work_on_what_the_last_one_kept(spark, pipeline):
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} <= got and out.count() > 0
 
 
+def test_stages_take_odd_rows(spark, pipeline, odd):
+    """Nulls in every column, empty and long texts, repeated rows, and columns of names that the stages use themselves."""
+    docs = odd
+    for name, f in pipeline.STAGES[:-1]:
+        left = f(spark, docs, brute.SF)
+        assert left.columns == odd.columns, name
+        assert {tuple(r) for r in left.collect()} <= {tuple(r) for r in docs.collect()}
+    out = pipeline.STAGES[-1][1](spark, odd, brute.SF)
+    assert 4 in {r.doc_id for r in out.collect()} <= {1, 4, 6, 7, 8}  # those with a token, as their sources' shares of the slots go
+
+
 def test_stages_take_empty_tables(spark, pipeline, none):
     docs = none.select("doc_id", "text", "lang", "source").withColumn("n_chars", F.lit(0).cast("long"))
     for _, f in pipeline.STAGES:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 
 from pyspark.sql import Column, DataFrame, Window
@@ -75,16 +76,28 @@ def _text_position(df: DataFrame, column: str) -> Column:
     return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), shared + 1, 6)), 12, "0"), 16, 10).cast("double")
 
 
-def _bucket(at: Column, bounds: list[float]) -> Column:
-    """Number of the bounds that a value is above, by bisection; -1 for null, which sorts first."""
+def _bucket(at: Column, bounds: list[float], most: int = 256) -> Column:
+    """Number of the bounds that a value is above, by bisection; -1 for null, which sorts first.
 
-    def part(low: int, high: int) -> Column:
+    More than ``most`` bounds are cut into blocks, as many as a block has bounds: the block is found by bisection, the place in
+    it in a constant array, so that the expression stays small enough to be compiled.
+    """
+
+    def part(ends: list[float], low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         mid = (low + high) // 2
-        return F.when(at > F.lit(float(bounds[mid])), part(mid + 1, high)).otherwise(part(low, mid))
+        return F.when(at > F.lit(float(ends[mid])), part(ends, mid + 1, high)).otherwise(part(ends, low, mid))
 
-    return F.when(at.isNull(), F.lit(-1)).otherwise(part(0, len(bounds)))
+    if len(bounds) <= most:
+        found = part(bounds, 0, len(bounds))
+    else:
+        step = math.isqrt(len(bounds)) + 1
+        blocks = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+        block = part([b[-1] for b in blocks[:-1]], 0, len(blocks) - 1)
+        held = F.array(*(F.array(*(F.lit(float(x)) for x in b)) for b in blocks))
+        found = block * step + F.size(F.filter(F.get(held, block), lambda x: at > x))
+    return F.when(at.isNull(), F.lit(-1)).otherwise(found)
 
 
 def row_stats(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:

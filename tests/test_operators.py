@@ -197,3 +197,12 @@ def test_types(spark):
     assert a.concat(b) == {"x": 1, "y": "q"} and a.x == 1 and not a.is_empty()
     with pytest.raises(KeyError):
         a.concat(a)
+
+
+def test_ranges_by_many_bounds(spark):
+    from flowtree.operators.aggregate import _bucket
+
+    bounds = [float(x) for x in range(0, 3000, 3)]
+    df = spark.range(-5, 3010).select(F.col("id").cast("double").alias("x")).union(spark.createDataFrame([(None,)], "x double"))
+    got = {r.x: (r.few, r.many) for r in df.select("x", _bucket(F.col("x"), bounds, 10_000).alias("few"), _bucket(F.col("x"), bounds).alias("many")).collect()}
+    assert got[None] == (-1, -1) and all(a == b == sum(x > y for y in bounds) for x, (a, b) in got.items() if x is not None)

@@ -150,3 +150,15 @@ def test_small_sinks(spark, tmp_path, capsys):
     sinks.write_text(df, str(tmp_path / "t"), "id")
     assert spark.read.text(str(tmp_path / "t")).count() == 3
     assert sinks.snapshot(df, str(tmp_path / "f"), "n").count() == 3 and sinks.replay(spark, str(tmp_path / "f"), "n").count() == 3
+
+
+def test_connections_stay_open(server):
+    from flowtree.sources.http import Pool
+
+    pool = Pool()
+    for k in range(3):
+        assert pool.get(f"http://{server}/x y?offset={k}")[0] == 200 and len(pool.open) == 1
+    pool.close()
+    assert not pool.open and pool.get(f"http://{server}/missing")[0] == 404
+    with pytest.raises(RequestFailed):
+        pool.get("ftp://nowhere.example/")

@@ -132,6 +132,22 @@ def sql_execute(spark, d):
     return p.plan(spark, seed={"m": _t(spark, d, "region")})["q"].select("r_regionkey", F.size("result_rows").alias("n"))
 
 
+@query("SELECT n_nationkey, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def sql_by_row(spark, d):
+    """A statement whose parameters the rows fill in."""
+    _t(spark, d, "region").createOrReplaceTempView("region_of_sql_by_row")
+    p = pl.Pipeline().add("MockNode", "m").then("SQLExecute", "q", sql="SELECT r_name FROM region_of_sql_by_row WHERE r_regionkey = {n_regionkey}", returned_columns=["name"])
+    got = p.plan(spark, seed={"m": _t(spark, d, "nation").select("n_nationkey", "n_regionkey")})["q"]
+    return got.select("n_nationkey", F.col("result_rows")[0]["name"].alias("region"))
+
+
+@query("SELECT event_type, count(*) AS n, max(value) AS most FROM events GROUP BY 1")
+def emitted_at_end(spark, d):
+    """What a node gives once its input has ended."""
+    p = pl.Pipeline().add("MockNode", "m").then("AtEnd", "e", aggregates={"n": "count(*)", "most": "max(value)"}, by=["event_type"])
+    return p.plan(spark, seed={"m": _t(spark, d, "events")})["e"]
+
+
 # requests
 
 

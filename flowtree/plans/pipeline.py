@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import argparse
 import csv
+import functools
 import importlib
 import os
 import re
 import sys
+import time
+import uuid
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -40,6 +43,10 @@ COMMON = frozenset(
 )
 
 
+#: Most statements that a node runs for the parameters of its input's rows.
+STATEMENTS = 1000
+
+
 class PipelineError(ValueError):
     """A pipeline that can't be planned: an unknown class or option, a missing node, a cycle."""
 
@@ -143,8 +150,21 @@ def _pages(spark, df, o):
 
 @node_class("CivisSQLExecute", "either", "sql! database query_dict returned_columns dummy_run output_key", ("SQLExecute",))
 def _sql(spark, df, o):
-    got = sources.sql_execute(spark, **_given(o, "sql", "query_dict", "returned_columns", "dummy_run", "output_key"))
-    return got if df is None else df.crossJoin(F.broadcast(got))  # one row
+    given = _given(o, "sql", "query_dict", "returned_columns", "dummy_run", "output_key")
+    names = [] if df is None else sorted({n for n in re.findall(r"\{(\w+)\}", o["sql"]) if n in df.columns and n not in o.get("query_dict", {})})
+    if not names:
+        got = sources.sql_execute(spark, **given)
+        return got if df is None else df.crossJoin(got)  # one row
+    # a statement for each distinct set of parameters that the rows fill in
+    sets = df.select(*(f"`{n}`" for n in names)).distinct().limit(STATEMENTS + 1).collect()
+    if len(sets) > STATEMENTS:
+        raise PipelineError(f"{o['sql']!r} would be run more than {STATEMENTS} times: join the rows with its tables instead")
+    made = [sources.sql_execute(spark, **given | {"query_dict": o.get("query_dict", {}) | r.asDict()}).withColumns({f"__{n}": F.lit(r[n]).cast(df.schema[n].dataType) for n in names}) for r in sets]
+    if not made:
+        return df.crossJoin(sources.sql_execute(spark, **given | {"query_dict": o.get("query_dict", {}) | dict.fromkeys(names), "dummy_run": True}))
+    answers = rows.fan_in(made)
+    same = functools.reduce(lambda x, y: x & y, (df[f"`{n}`"].eqNullSafe(answers[f"`__{n}`"]) for n in names))
+    return df.join(answers, same).drop(*(f"__{n}" for n in names))
 
 
 @node_class("CivisToCSV", "either", "sql! database query_dict returned_columns include_headers delimiter", ("SQLToCSV",))
@@ -156,7 +176,7 @@ def _sql_csv(spark, df, o):
 def _find(spark, df, o):
     table = f"{o['schema']}.{o['table']}" if o.get("schema") else o["table"]
     got = ops.find_value(spark.table(table), o["column"], o.get("choice", "max")).withColumnRenamed("value", o.get("output_key", "value"))
-    return got if df is None else df.crossJoin(F.broadcast(got))  # one row
+    return got if df is None else df.crossJoin(got)  # one row
 
 
 @node_class("Remapper", "worker", "mapping!")
@@ -223,6 +243,12 @@ def _stats(spark, df, o):
     return ops.row_stats(df, **_given(o, "columns", "approximate"))
 
 
+@node_class("AtEnd", "worker", "aggregates! by")
+def _at_end(spark, df, o):
+    """What a node makes of all its input, once it ends: expressions of aggregates by name, for all rows or by some columns."""
+    return df.groupBy(*(f"`{c}`" for c in o.get("by", []))).agg(*(F.expr(e).alias(n) for n, e in o["aggregates"].items()))
+
+
 @node_class("TimeWindowAccumulator", "worker", "time_window! send_interval! time late by")
 def _window(spark, df, o):
     return ops.time_window(df, **_given(o, "time_window", "send_interval", "time", "late", "by"))
@@ -323,6 +349,10 @@ class Pipeline:
         self._last: str | None = None
         self.observed: dict[str, tuple[Observation, int]] = {}
         self.status = "new"
+        self.began: float | None = None
+        self.ended: float | None = None
+        self._shared: list[DataFrame] | None = None
+        self._group = f"pipeline-{uuid.uuid4().hex}"
 
     def add(self, class_name: str, name: str | None = None, **options: Any) -> Pipeline:
         if class_name not in REGISTRY:
@@ -393,6 +423,8 @@ class Pipeline:
             if not before and node.cls.kind in ("worker", "sink", "join"):
                 raise PipelineError(f"{name} has no input")
             made[name] = self._apply(spark, node, before, act)
+            if self._shared is not None and len(self.outputs(name)) > 1 and made[name] is not None and not made[name].isStreaming:
+                self._shared.append(made[name].persist())  # each branch has an action of its own
         return made
 
     def _apply(self, spark: SparkSession, node: Node, before: dict[str, DataFrame], act: bool) -> DataFrame | None:
@@ -451,8 +483,12 @@ class Pipeline:
         return sinks.snapshot(out, o["fixturize"], node.name) if isinstance(o.get("fixturize"), str) else out
 
     def run(self, spark: SparkSession) -> dict[str, DataFrame | None]:
-        """Makes the plan, lets sinks act, and consumes what has no successor; then raises if a node had too many errors."""
-        self.status = "running"
+        """Makes the plan, lets sinks act, and consumes what has no successor; then raises if a node had too many errors.
+
+        What several nodes read is kept while it runs, so that it is made once.
+        """
+        self.status, self.began, self.ended, self._shared = "running", time.monotonic(), None, []
+        spark.sparkContext.setJobGroup(self._group, self.name or "pipeline", interruptOnCancel=True)
         try:
             made = self.plan(spark, act=True)
             for name, df in made.items():
@@ -461,11 +497,31 @@ class Pipeline:
             for name, (seen, most) in self.observed.items():
                 rows.check_errors(seen, most, name)
         except BaseException:
-            self.status = "error"
+            self.status = "terminated" if self.status == "terminating" else "error"
             raise
+        finally:
+            for df in self._shared:
+                df.unpersist()
+            self._shared, self.ended = None, time.monotonic()
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         self.status = "success"
         return made
 
+    def terminate(self, spark: SparkSession) -> None:
+        """Cancels the jobs of a run, from another thread; the run raises, and its status is 'terminated'."""
+        if self.status == "running":
+            self.status = "terminating"
+            spark.sparkContext.cancelJobGroup(self._group)
+
+    @property
+    def finished(self) -> bool:
+        return self.status in ("success", "error", "terminated")
+
+    @property
+    def time_running(self) -> float:
+        """Seconds of the run, so far or in all."""
+        return 0.0 if self.began is None else (self.ended or time.monotonic()) - self.began
+
     def draw(self) -> str:
         """The graph in DOT."""
         quoted = lambda s: '"' + s.replace('"', '\\"') + '"'

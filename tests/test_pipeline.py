@@ -116,3 +116,45 @@ def test_templates_call_allowed_functions_only(spark):
     assert "CounterOfThings" in p.load("pipeline_name: {{ when }}\nnodes:\n  c: {class: CounterOfThings}\n", {"when": lambda: "now"}).dump()
     with pytest.raises(p.PipelineError):
         p.load("pipeline_name: {{ os.getcwd }}\nnodes:\n  c: {class: CounterOfThings}\n")
+
+
+def test_shared_rows_are_made_once_and_runs_are_timed(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        calls.add(1)
+        return x
+
+    from flowtree.functions import register
+
+    register("counted_of_test", counted, "long")
+    made = p.Pipeline().add("CounterOfThings", "c", end=6).then("FunctionOfMessage", "f", function_name="counted_of_test", key="value").then("BlackHole", "a").after("f").then("Blocker", "b")
+    assert not made.finished and made.time_running == 0
+    made.run(spark)
+    assert made.finished and made.status == "success" and made.time_running > 0 and calls.value == 6
+
+
+def test_a_run_that_is_terminated(spark):
+    import threading
+    import time
+
+    from flowtree.functions import register
+
+    register("slow_of_test", lambda x: time.sleep(30) or x, "long")
+    made = p.Pipeline().add("CounterOfThings", "c", end=4).then("FunctionOfMessage", "f", function_name="slow_of_test", key="value")
+    threading.Timer(4, lambda: made.terminate(spark)).start()
+    with pytest.raises(Exception):  # noqa: B017 - Spark's own
+        made.run(spark)
+    assert made.status == "terminated" and made.finished and made.time_running < 25
+
+
+def test_options_without_an_effect_are_named():
+    with pytest.warns(UserWarning, match="break_test, throttle"):
+        p.Pipeline().add("MockNode", "m", throttle=2, break_test="x > 1", keep_alive=False)
+
+
+def test_statements_by_row_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(p, "STATEMENTS", 3)
+    made = p.Pipeline().add("CounterOfThings", "c", end=4).then("SQLExecute", "q", sql="SELECT {value} AS v")
+    with pytest.raises(p.PipelineError, match="more than 3"):
+        made.plan(spark)

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .minhash import Scheme, band_keys, binaries, lists, sets, signatures
 from .storage import written
+from .textblocks import trimmed
 from .tiles import TILE, TILE_SHINGLES, Chooser, buckets, forest, needed, originals, sent, set_hashes, small, tiled, verify
 
 #: Production parameters: shingles of 3 words, 32 bands of 4, the least Jaccard similarity of near copies, the
@@ -112,7 +113,7 @@ def sketches(docs: DataFrame, scheme: Scheme) -> DataFrame:
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "text_key", "set_a", "set_b", "size", "bands", "sig"]).filter(pa.array(some))
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), F.col("text").alias("text")).where("doc_id is not null and text is not null")
-    return named.mapInArrow(run, "doc_id long, text_key long, set_a long, set_b long, size long, bands array<long>, sig binary")
+    return named.mapInArrow(trimmed(run), "doc_id long, text_key long, set_a long, set_b long, size long, bands array<long>, sig binary")
 
 
 def _text_key():
@@ -130,7 +131,7 @@ def candidates(firsts: DataFrame, shared: DataFrame, least: tuple[tuple[int, int
     pairs = shared.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
     with_b = pairs.join(firsts.select(F.col("doc_id").alias("b"), "size", F.col("sig").alias("y")), "b")
     both = with_b.join(firsts.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a")
-    return both.select("a", "b", "size", "x", "y").mapInArrow(run, "a long, b long, size long")
+    return both.select("a", "b", "size", "x", "y").mapInArrow(trimmed(run), "a long, b long, size long")
 
 
 def _edges(a, b, _):
@@ -151,13 +152,14 @@ def verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, words: int, t
 def remaining(docs: DataFrame, firsts: DataFrame, shared: DataFrame, found: DataFrame, words: int, threshold: float, least: tuple[tuple[int, int], ...]) -> DataFrame:
     """(a, b): edges that join what is alike in the buckets that the components ``found`` don't join."""
     component = F.coalesce("component", "doc_id")
-    placed = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", component)
+    found = small(written(found.withColumnRenamed("node", "doc_id"), "found"))
+    placed = shared.join(found, "doc_id", "left").withColumn("component", component)
     split = placed.groupBy("bucket").agg(F.min("component").alias("low_c"), F.max("component").alias("high_c")).where("low_c <> high_c").select("bucket")
-    rows = written(tiled(placed.join(written(split, "split"), "bucket").drop("component")), "apart")
-    labels = firsts.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", component)
-    marks = labels.select("doc_id", "set_a", "set_b", "bands", "sig", "component")
+    members = written(shared.join(small(written(split, "split")), "bucket"), "apart")
+    ids = small(written(members.select("doc_id").distinct(), "ids"))
+    marks = written(firsts.join(ids, "doc_id").join(found, "doc_id", "left").select("doc_id", "set_a", "set_b", "bands", "sig", component.alias("component")), "labelled")
     chooser = apart(least)
-    meet = needed(rows.join(marks.drop("set_a", "set_b"), "doc_id"), chooser)
+    meet = needed(tiled(members).join(marks.drop("set_a", "set_b"), "doc_id"), chooser)
     return verify(sent(docs, meet, marks, words), chooser, threshold, _edges, "a long, b long")
 
 

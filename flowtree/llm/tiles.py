@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .minhash import jaccard, ragged, sets
 from .storage import written
-from .textblocks import mix
+from .textblocks import mix, trimmed
 
 #: Documents of a part of a bucket, about, and shingles of their sets.
 TILE, TILE_SHINGLES = 1024, 4 << 20
@@ -180,7 +180,7 @@ def needed(rows: DataFrame, chooser: type[Chooser]) -> DataFrame:
                 yield batch
 
     columns = ["tile", "bucket", "kind", "doc_id", *chooser.columns]
-    return rows.select(*columns).repartition("tile").sortWithinPartitions("tile", "kind", "doc_id").mapInArrow(run, "tile long, bucket long, kind int, doc_id long")
+    return rows.select(*columns).repartition("tile").sortWithinPartitions("tile", "kind", "doc_id").mapInArrow(trimmed(run), "tile long, bucket long, kind int, doc_id long")
 
 
 def sent(docs: DataFrame, meet: DataFrame, marks: DataFrame, words: int) -> DataFrame:
@@ -189,8 +189,9 @@ def sent(docs: DataFrame, meet: DataFrame, marks: DataFrame, words: int) -> Data
     A document's set is made once, from a text that has its hash, whichever tiles it goes to.
     """
     meet = written(meet, "meet")
-    held = meet.groupBy("doc_id").agg(F.collect_list(F.struct("tile", "bucket", "kind")).alias("at"))
-    held = written(held.join(marks.select("doc_id", "set_a", "set_b"), "doc_id"), "met")
+    held = written(meet.groupBy("doc_id").agg(F.collect_list(F.struct("tile", "bucket", "kind")).alias("at")), "held")
+    own = written(marks.join(small(held.select("doc_id")), "doc_id"), "marks")  # of those that meet
+    met = written(held.join(own.select("doc_id", "set_a", "set_b"), "doc_id"), "met")
 
     def expand(batches):
         for batch in batches:
@@ -199,10 +200,11 @@ def sent(docs: DataFrame, meet: DataFrame, marks: DataFrame, words: int) -> Data
             right = (h[:, 0] == batch.column("set_a").to_numpy()) & (h[:, 1] == batch.column("set_b").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("doc_id"), ragged(made)], ["at", "doc_id", "shingles"]).filter(pa.array(right))
 
-    rows = named_texts(docs).join(small(held, array="at"), "doc_id").select("doc_id", "text", "set_a", "set_b", "at")
-    made = rows.mapInArrow(expand, "at array<struct<tile:long,bucket:long,kind:int>>, doc_id long, shingles binary")
+    rows = named_texts(docs).join(small(met, array="at"), "doc_id").select("doc_id", "text", "set_a", "set_b", "at")
+    made = rows.mapInArrow(trimmed(expand), "at array<struct<tile:long,bucket:long,kind:int>>, doc_id long, shingles binary")
     spread = made.select(F.explode("at").alias("at"), "doc_id", "shingles").select("at.*", "doc_id", "shingles")
-    return meet.join(marks.drop("set_a", "set_b"), "doc_id").unionByName(spread, allowMissingColumns=True)
+    others = own.drop("set_a", "set_b")
+    return (meet.join(others, "doc_id") if len(others.columns) > 1 else meet).unionByName(spread, allowMissingColumns=True)
 
 
 def verify(rows: DataFrame, chooser: type[Chooser], threshold: float, emit: Callable, schema: str) -> DataFrame:
@@ -248,7 +250,7 @@ def verify(rows: DataFrame, chooser: type[Chooser], threshold: float, emit: Call
 
     names = [f.split()[0] for f in schema.split(", ")]
     columns = ["tile", "bucket", "kind", "doc_id", *chooser.columns, "shingles"]
-    return rows.select(*columns).repartition("tile").sortWithinPartitions("tile", "kind", "doc_id").mapInArrow(run, schema)
+    return rows.select(*columns).repartition("tile").sortWithinPartitions("tile", "kind", "doc_id").mapInArrow(trimmed(run), schema)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from . import operators as ops
 from . import paths, sinks, sources
-from .functions import scalar
+from .functions import register, scalar
 from .plans import graph, mtl, tree
 from .plans import pipeline as pl
 from .queries import _t, query
@@ -90,8 +90,8 @@ def files_by_row(spark, d):
     at = _folder(spark)
     names = _t(spark, d, "region").select("r_regionkey", "r_name")
     _t(spark, d, "nation").select("n_regionkey", F.col("n_name").alias("value")).repartition("n_regionkey").write.partitionBy("n_regionkey").text(at)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at).select(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).cast("long").alias("r_regionkey"), F.regexp_replace("path", "^file:/+", "/").alias("filename"))
-    got = sources.local_file_reader(spark, "/", names=names.join(files, "r_regionkey"), serialize=True)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at).select(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).cast("long").alias("r_regionkey"), F.regexp_replace("path", "^file:/+", "file:///").alias("filename"))
+    got = sources.local_file_reader(spark, "", names=names.join(files, "r_regionkey"), serialize=True)
     return got.select(F.col("r_name").alias("region"), "value")
 
 
@@ -263,6 +263,15 @@ def node_limits(spark, d):
     return spark.createDataFrame([(made["m"].count(), int(p.observed["m"][0].get["errors"]), p.status, made["l"].count())], "n long, failed_rows long, status string, limited long")
 
 
+@query("SELECT r_regionkey, 12 // r_regionkey AS share, 1::BIGINT AS failed_rows FROM region WHERE r_regionkey > 0")
+def failing_function(spark, d):
+    """A Python function that fails for a row, which the node tolerates and counts."""
+    register("twelfth_of_failing_function", lambda x: 12 // x, "long")
+    p = pl.Pipeline().add("MockNode", "m").then("FunctionOfMessage", "f", function_name="twelfth_of_failing_function", key="r_regionkey", output_key="share", max_errors=1)
+    got = _kept(p.plan(spark, seed={"m": _t(spark, d, "region")})["f"].select("r_regionkey", "share"))
+    return got.withColumn("failed_rows", F.lit(int(p.observed["f"][0].get["errors"])).cast("long"))
+
+
 @query("SELECT 'x' || r_name AS value FROM region")
 def retain_input_off(spark, d):
     """A node that rewrites in place and keeps nothing else."""

@@ -45,6 +45,7 @@ COMMON = frozenset(
 
 #: Most statements that a node runs for the parameters of its input's rows.
 STATEMENTS = 1000
+_FAILED = "__failed"
 
 
 class PipelineError(ValueError):
@@ -201,7 +202,19 @@ def _regex(spark, df, o):
 
 @node_class("FunctionOfMessage", "worker", "function_name! key output_key returns")
 def _function(spark, df, o):
-    return ops.function_of_message(df, o["function_name"], o.get("key"), **_given(o, "output_key", "returns"))
+    f = load_function(o["function_name"], o.get("returns", "string"))
+    if f.columnar or o.get("max_errors") is None or o.get("error_test"):
+        return ops.function_of_message(df, o["function_name"], o.get("key"), **_given(o, "output_key", "returns"))
+
+    def tried(*values):
+        try:
+            return f.function(*values), False
+        except Exception:  # noqa: BLE001 - counted, and bounded by max_errors
+            return None, True
+
+    kind = f.returns if isinstance(f.returns, str) else f.returns.simpleString()
+    out = df.withColumn("__tried", F.udf(tried, f"struct<value:{kind},failed:boolean>", useArrow=True)(paths.get(df, o.get("key"))))
+    return out.withColumns({o.get("output_key", "value"): F.col("__tried.value"), _FAILED: F.col("__tried.failed")}).drop("__tried")
 
 
 @node_class("Serializer", "worker", "values key output_key")
@@ -477,8 +490,9 @@ class Pipeline:
         if o.get("post_process_function"):
             f, at = load_function(o["post_process_function"]), o.get("post_process_keypath") or out.columns[-1]
             out = paths.put(out, at, f(paths.get(out, at), **o.get("post_process_function_kwargs", {})))
-        if o.get("error_test"):
-            out, seen = rows.tolerate(out, F.expr(o["error_test"]), o.get("max_errors", 0), node.name)
+        if o.get("error_test") or _FAILED in out.columns:
+            out, seen = rows.tolerate(out, F.col(_FAILED) if _FAILED in out.columns else F.expr(o["error_test"]), o.get("max_errors", 0), node.name)
+            out = out.drop(_FAILED)
             self.observed[node.name] = (seen, o.get("max_errors", 0))
         return sinks.snapshot(out, o["fixturize"], node.name) if isinstance(o.get("fixturize"), str) else out
 

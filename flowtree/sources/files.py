@@ -5,9 +5,11 @@ from __future__ import annotations
 import csv
 import io
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,11 +17,20 @@ from pyspark.sql import types as T
 _BROKEN = "__corrupt"
 
 
+def _content(path: str) -> bytes:
+    if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]+:/", path):
+        store, at = fs.FileSystem.from_uri(path)
+        with store.open_input_stream(at) as f:
+            return f.read()
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def local_file_reader(spark: SparkSession, directory: str = ".", filename: str | None = None, serialize: bool = False, read_mode: str = "r", names: DataFrame | None = None, key: str = "filename", output_key: str = "value") -> DataFrame:
     """Whole files as one value each, or with ``serialize`` a row for each line.
 
     The file is ``directory/filename``; with ``names``, the files that its column ``key`` names, read on the executors,
-    each beside its row. A missing file raises.
+    each beside its row: from a folder that all of them have, or with a URI (hdfs://, s3://, gs://, file://) from that store. A missing file raises.
     """
     if names is None:
         path = os.path.join(directory, filename) if filename else directory
@@ -31,8 +42,8 @@ def local_file_reader(spark: SparkSession, directory: str = ".", filename: str |
         for batch in batches:
             out = []
             for name in batch:
-                with open(os.path.join(directory, name), read_mode, **({} if "b" in read_mode else {"encoding": "utf-8"})) as f:
-                    out.append(f.read())
+                content = _content(os.path.join(directory, name))
+                out.append(content if "b" in read_mode else content.decode("utf-8"))
             yield pd.Series(out)
 
     kind = T.BinaryType() if "b" in read_mode else T.StringType()

@@ -158,3 +158,18 @@ def test_statements_by_row_have_a_bound(spark, monkeypatch):
     made = p.Pipeline().add("CounterOfThings", "c", end=4).then("SQLExecute", "q", sql="SELECT {value} AS v")
     with pytest.raises(p.PipelineError, match="more than 3"):
         made.plan(spark)
+
+
+def test_failing_functions_are_counted_and_bounded(spark):
+    from flowtree.functions import register
+    from flowtree.rows import TooManyErrors
+
+    register("odd_only_of_test", lambda x: [x][x % 2 - 1] // (x % 2), "long")
+
+    def made(most):
+        return p.Pipeline().add("CounterOfThings", "c", end=5).then("FunctionOfMessage", "f", function_name="odd_only_of_test", key="value", output_key="v", max_errors=most)
+
+    ok = made(2)
+    assert sorted(r.v for r in ok.run(spark)["f"].collect()) == [1, 3, 5] and ok.plan(spark)["f"].columns == ["value", "v"]
+    with pytest.raises(TooManyErrors, match="2 rows failed"):
+        made(1).run(spark)

@@ -32,14 +32,14 @@ NODES = "array<struct<nid:int,last:int,parent:int,depth:int,key:string,pos:int,k
 _STRINGS = pa.list_(pa.string())
 
 
-def _walk(value: object, into: tuple[list, ...]) -> int:
+def _walk(value: object, into: tuple[list, ...], with_paths: bool = True) -> int:
     """Appends a document's nodes in pre-order, column by column, and returns their number; ``last`` is the greatest nid below.
 
     Values are kept in a stack, not by recursion, so a document may be nested as deep as the parser reads it.
     """
     nids, lasts, parents, depths, names, positions, kinds, paths, keys, texts = into
     base, dumps = len(nids), json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
-    left: list[tuple] = [(value, -1, 0, None, None, [])]
+    left: list[tuple] = [(value, -1, 0, None, None, [] if with_paths else None)]
     while left:
         x, parent, depth, name, pos, path = left.pop()
         nid = len(nids) - base
@@ -55,9 +55,9 @@ def _walk(value: object, into: tuple[list, ...]) -> int:
         keys.append(list(x) if kind == "dict" else [])
         texts.append(x if kind == "string" else None if kind == "null" else int.__repr__(x) if type(x) is int else dumps(x))
         if kind == "dict":
-            left += [(v, nid, depth + 1, k, None, [*path, k]) for k, v in reversed(x.items())]
+            left += [(v, nid, depth + 1, k, None, [*path, k] if with_paths else None) for k, v in reversed(x.items())]
         elif kind == "list":
-            left += [(x[i], nid, depth + 1, None, i, [*path, str(i)]) for i in reversed(range(len(x)))]
+            left += [(x[i], nid, depth + 1, None, i, [*path, str(i)] if with_paths else None) for i in reversed(range(len(x)))]
     for at in range(len(nids) - 1, base, -1):  # each node's last goes up before its parent's does
         up = base + parents[at]
         if lasts[at] > lasts[up]:
@@ -78,7 +78,7 @@ _KINDS = {dict: "dict", list: "list", str: "string", bool: "bool", type(None): "
 _TYPES = {"nid": pa.int32(), "last": pa.int32(), "parent": pa.int32(), "depth": pa.int32(), "key": pa.string(), "pos": pa.int32(), "kind": pa.string(), "path": _STRINGS, "keys": _STRINGS, "v": pa.string()}
 
 
-def _parse(texts: pa.Array) -> pa.Array:
+def _nodes_of(texts: pa.Array, with_paths: bool) -> pa.Array:
     into = tuple([] for _ in _TYPES)
     sizes, missing = [0], []
     for text in texts.to_pylist():
@@ -88,7 +88,7 @@ def _parse(texts: pa.Array) -> pa.Array:
         except (ValueError, RecursionError):
             missing.append(True)
         try:
-            sizes.append(sizes[-1] + (0 if missing[-1] else _walk(value, into)))
+            sizes.append(sizes[-1] + (0 if missing[-1] else _walk(value, into, with_paths)))
         except RecursionError:  # nested beyond what the encoder writes
             missing[-1] = True
             sizes.append(sizes[-1])
@@ -98,9 +98,17 @@ def _parse(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat, mask=pa.array(missing))
 
 
-def nodes(text: Column) -> Column:
-    """The nodes of a JSON document in pre-order, the root first; null if it isn't JSON."""
-    return F.arrow_udf(_parse, NODES)(text)
+def _parse(texts: pa.Array) -> pa.Array:
+    return _nodes_of(texts, True)
+
+
+def _parse_without_paths(texts: pa.Array) -> pa.Array:
+    return _nodes_of(texts, False)
+
+
+def nodes(text: Column, with_paths: bool = True) -> Column:
+    """The nodes of a JSON document in pre-order, the root first; null if it isn't JSON. Paths are null unless asked for."""
+    return F.arrow_udf(_parse if with_paths else _parse_without_paths, NODES)(text)
 
 
 def splitter(df: DataFrame, key: str) -> DataFrame:
@@ -124,6 +132,15 @@ def _as_text(df: DataFrame, key: str) -> Column:
     return df[f"`{key}`"] if isinstance(kind, T.StringType) else F.to_json(df[f"`{key}`"])
 
 
+def _reads_paths(x: object) -> bool:
+    """Whether a condition anywhere in steps looks at paths; one that isn't of this module may."""
+    if isinstance(x, Condition) and type(x).__module__ != __name__:
+        return True
+    if isinstance(x, (list, tuple)):
+        return any(map(_reads_paths, x))
+    return isinstance(x, PathEndsIn) or hasattr(x, "__dict__") and not isinstance(x, Column) and any(map(_reads_paths, vars(x).values()))
+
+
 @dataclass(frozen=True)
 class Place:
     """A place in a schema: its column, type, keys from the root, and the places above it, nearest first."""
@@ -427,7 +444,7 @@ class Relation:
         kept = [f"`{c}`" for c in keep or []]
         if isinstance(kind, (T.StructType, T.ArrayType)):
             return _unpacked(df, kept, self._typed(Place(df[f"`{key}`"], kind), steps, out))
-        parsed = df.select(*kept, nodes(_as_text(df, key)).alias("__nodes"))
+        parsed = df.select(*kept, nodes(_as_text(df, key), _reads_paths(steps)).alias("__nodes"))
         rows = self._parsed(F.col("__nodes"), steps, out)
         return _unpacked(parsed, kept, F.when(F.col("__nodes").isNotNull(), rows))
 

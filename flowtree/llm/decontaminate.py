@@ -20,6 +20,7 @@ under two ids are each reported. Repeated rows of a doc_id are reported once, wi
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from . import labelled
 from .minhash import sets
 from .storage import written
-from .textblocks import blocks, distinct, mix, shingles, tokens
+from .textblocks import blocks, distinct, mix, shingles, tokens, trimmed
 
 #: Production parameters: words of a shingle, least containment, hashes of a window.
 WORDS, THRESHOLD, HASHES = 5, 0.5, 48
@@ -191,7 +192,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                 out = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([ix.ids[i] for i in at], pa.int64()), pa.array(share, pa.float64())]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "item_id", "containment"])
 
-        found = _named(docs, "doc_id").mapInArrow(run, "doc_id long, item_id long, containment double")
+        found = _named(docs, "doc_id").mapInArrow(trimmed(run), "doc_id long, item_id long, containment double")
     return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 
 
@@ -209,7 +210,7 @@ def _filter(known: DataFrame) -> tuple[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_probe(batch.column(0).to_numpy(), k, bits) for k in range(PROBES)]).astype(np.int64))], ["at"])
 
     at = F.col("at")
-    got = keys.mapInArrow(places, "at long").groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("set")).toArrow()
+    got = keys.mapInArrow(trimmed(places), "at long").groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("set")).toArrow()
     words = np.zeros(1 << (bits - 6), np.uint64)
     words[got["word"].to_numpy()] = got["set"].to_numpy().view(np.uint64)
     return bits, words
@@ -239,7 +240,7 @@ def _joined(texts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
             at = at[filled[(pos >> 6).astype(np.int64)] >> (pos & np.uint64(63)) & np.uint64(1) == 1]
         return at
 
-    known = written(_named(items, "item_id").distinct().mapInArrow(indexed, "item_id long, words int, class int, shingles binary, keys array<long>"), "items")
+    known = written(_named(items, "item_id").distinct().mapInArrow(trimmed(indexed), "item_id long, words int, class int, shingles binary, keys array<long>"), "items")
     classes = [(r["words"], r["class"]) for r in known.select("words", "class").distinct().collect()]
     bits, filled = _filter(known)
 
@@ -270,10 +271,10 @@ def _joined(texts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
                                 column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["text_key", "item_id", "containment"])
 
-    met = texts.mapInArrow(windows, "text_key string, key long").join(known.select("item_id", "words", "shingles", F.explode("keys").alias("key")), "key")
+    met = texts.mapInArrow(trimmed(windows), "text_key string, key long").join(known.select("item_id", "words", "shingles", F.explode("keys").alias("key")), "key")
     pairs = met.select("text_key", "item_id", "words", "shingles").distinct()
     pairs = pairs.groupBy("text_key").agg(F.collect_list(F.struct("item_id", "words", "shingles")).alias("items"))
-    return texts.join(pairs, "text_key").mapInArrow(verify, "text_key string, item_id long, containment double")
+    return texts.join(pairs, "text_key").mapInArrow(trimmed(verify), "text_key string, item_id long, containment double")
 
 
 def remove(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -281,8 +282,9 @@ def remove(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, broa
     ix = _small(items, broadcast_bytes)
     if ix is None:
         texts = docs.where("text is not null").select(_text_key().alias("text_key"), F.col("text").alias("text"))
-        gone = written(_joined(texts, items, threshold).select(F.col("text_key").alias("__gone")).distinct(), "gone")
-        return docs.join(gone, _text_key() == F.col("__gone"), "left_anti")
+        own = f"gone_{uuid.uuid4().hex}"  # no column of docs has such a name
+        gone = written(_joined(texts, items, threshold).select(F.col("text_key").alias(own)).distinct(), "gone")
+        return docs.join(gone, _text_key() == F.col(own), "left_anti")
 
     def clean(batch: pa.RecordBatch) -> np.ndarray:
         mask = np.ones(batch.num_rows, bool)

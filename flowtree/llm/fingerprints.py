@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .minhash import Scheme, band_keys, lists, sets, signatures
 from .storage import written
+from .textblocks import trimmed
 from .tiles import TILE, TILE_SHINGLES, Chooser, buckets, forest, named_texts, needed, originals, sent, set_hashes, small, tiled, verify
 
 #: Production parameters.
@@ -44,7 +45,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme = SCHEME) -> DataFrame:
             out = [batch.column(0), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(size), lists(band_keys(sig, scheme), some)]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "set_a", "set_b", "size", "bands"]).filter(pa.array(some))
 
-    return named_texts(docs).mapInArrow(run, "doc_id long, set_a long, set_b long, size long, bands array<long>")
+    return named_texts(docs).mapInArrow(trimmed(run), "doc_id long, set_a long, set_b long, size long, bands array<long>")
 
 
 def _meetings(firsts: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textblocks import trimmed
+
 #: Rows of each class that a classifier is fitted on at most (about; drawn by hash of doc_id).
 PER_CLASS = 2500
 
@@ -42,7 +44,7 @@ def fitted(sampled: DataFrame, fit: Callable[[pa.Table], object]) -> dict | None
         model = fit(table.sort_by([("doc_id", "ascending"), ("y", "ascending"), ("text", "ascending")]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(None if model is None else vars(model))], pa.binary())], ["model"])
 
-    got = sampled.repartition(1).mapInArrow(run, "model binary").first()  # none if Catalyst sees that the sample is empty
+    got = sampled.repartition(1).mapInArrow(trimmed(run), "model binary").first()  # none if Catalyst sees that the sample is empty
     return None if got is None else pickle.loads(got.model)  # noqa: S301 - made by our own task
 
 
@@ -54,7 +56,7 @@ def kept(docs: DataFrame, columns: list[str], decide: Callable[[pa.RecordBatch],
             mask = decide(batch.select(columns))
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def scored(docs: DataFrame, columns: list[str], schema: str, score: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
@@ -64,4 +66,4 @@ def scored(docs: DataFrame, columns: list[str], schema: str, score: Callable[[pa
         for batch in batches:
             yield score(batch)
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(trimmed(run), schema)

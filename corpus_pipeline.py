@@ -3,6 +3,12 @@ that hold benchmark items go, and what is left is scheduled by source.
 
 Each stage reads all that its predecessor kept, from the Parquet table that it was written to; all but the last return
 the columns of documents. Models are fitted on the labelled rows among the documents that a stage gets.
+
+Defined results: every filter judges each row by its own text, whatever its doc_id; a row of a null doc_id isn't scheduled. Texts that are
+null, empty or without a word aren't toxic, resemble nothing and hold no item; where there is a quality model it rejects them. Without
+labels of both classes a classifier keeps all. Of rows of the same doc_id and text one stays. Ties are settled by hashes and ids,
+never by the order of rows. Columns besides doc_id, source, lang and text are passed on unread, whatever their names. Empty
+tables give empty tables of the same columns.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from flowtree.llm import decontaminate, mixing, neardup, quality, toxicity
-from flowtree.llm.storage import remove, shared_folder
+from flowtree.llm.storage import remove, remove_at_end, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +56,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over documents, each written as Parquet and read again as the next one's input.
 
-    A stage's table goes once the next one is written, so that two of them are there at most; the last one stays for the caller.
+    A stage's table goes once the next one is written, so that two of them are there at most; the last one goes when the process ends, or by ``storage.release``.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    remove_at_end(spark, folder)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")

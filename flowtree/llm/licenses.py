@@ -162,19 +162,23 @@ def scan(docs: DataFrame, licences: list[tuple[str, str, int, str]] | DataFrame
     """
     spark = docs.sparkSession
     if isinstance(licences, DataFrame):
-        table = F.broadcast(licences) if licences.count() <= BROADCAST_ROWS else licences
-        sizes, words = ([r[0] for r in licences.select(c).distinct().collect()] for c in ("size", "first"))
+        few = licences.count() <= BROADCAST_ROWS
+        table = F.broadcast(licences) if few else licences
+        sizes, words = ([r[0] for r in licences.select(c).distinct().collect()] for c in ("size", "first")) if few else (None, None)
     else:
         rows = known() if licences is None else licences
         table = F.broadcast(spark.createDataFrame(rows, "digest string, license string, size int, first string"))
         sizes, words = sorted({r[2] for r in rows}), sorted({r[3] for r in rows})
-    firsts = sorted(set().union({""}, *(spellings_of(w) for w in words)))
+    firsts = None if words is None else sorted(set().union({""}, *(spellings_of(w) for w in words)))
     lines = F.filter(F.split(F.lower(F.col("text")), LINES), lambda x: ~x.rlike(COPYRIGHT) & (~x.rlike(NAMED) | x.rlike(NOT_NAMES)))
     form = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.array_join(lines, "\n").alias("t"))
 
     def hashes(parts, scope):
-        fit = F.filter(parts, lambda p: (F.regexp_extract(p, FIRST, 1) != "") & F.regexp_extract(p, FIRST, 1).isin(firsts))
-        fit = F.filter(F.transform(fit, _canonical), lambda p: F.length(p).isin(sizes or [-1]))
+        if firsts is None:  # too many are known to tell by these
+            fit = F.filter(F.transform(parts, _canonical), lambda p: p != "")
+        else:
+            fit = F.filter(parts, lambda p: (F.regexp_extract(p, FIRST, 1) != "") & F.regexp_extract(p, FIRST, 1).isin(firsts))
+            fit = F.filter(F.transform(fit, _canonical), lambda p: F.length(p).isin(sizes or [-1]))
         return F.transform(fit, lambda p: F.struct(F.lit(scope).alias("scope"), F.md5(p).alias("digest")))
 
     every = F.concat(hashes(F.array("t"), "document"), hashes(F.split("t", BLANK), "paragraph"), hashes(F.split("t", "\n"), "line"))

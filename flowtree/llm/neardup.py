@@ -188,7 +188,7 @@ def groups(docs: DataFrame, scheme: Scheme = SCHEME, threshold: float = THRESHOL
 def deduplicate(docs: DataFrame, scheme: Scheme = SCHEME, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Texts are shuffled only where the ids that go are many."""
     sketched, found = _labels(docs, scheme, threshold, miss)
-    own = f"{uuid.uuid4().hex}"  # no column of docs has such a name
+    own = f"own_{uuid.uuid4().hex}"  # no column of docs has such a name
     doc_id = F.col("doc_id").cast("long")
     texts = sketched.select("doc_id", "text_key", "set_a", "set_b").join(found.where("group_id <> doc_id"), ["doc_id", "set_a", "set_b"])
     gone = written(texts.select(F.col("doc_id").alias(f"{own}_id"), F.col("text_key").alias(f"{own}_text")).distinct(), "gone")

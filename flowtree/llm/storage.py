@@ -8,30 +8,25 @@ tables cut the lineage: they outlive any executor. They are removed by ``discard
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
+
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir names no folder: this operator writes tables between its steps, in a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="flowtree-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+def remove_at_end(spark: SparkSession, folder: str) -> None:
+    """Has ``release`` remove a folder too."""
+    _written.append((spark, folder))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/flowtree-{uuid.uuid4().hex}"
-    _written.append((spark, folder))
+    remove_at_end(spark, folder)
     df.write.parquet(f"{folder}/{name}")
     made = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
     made.flowtree_folder = folder

@@ -241,6 +241,15 @@ def test_licences_with_copyright_lines_of_any_kind(spark):
     assert rows(licenses.scan(df)) == sql(licenses.sql("d"), d=df)
 
 
+def test_licences_of_a_table_of_any_size(spark, docs, monkeypatch):
+    known = spark.createDataFrame(licenses.known(), "digest string, license string, size int, first string")
+    few = docs.where("doc_id % 10 = 3")
+    want = rows(licenses.scan(few))
+    assert want and rows(licenses.scan(few, known)) == want
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 10)
+    assert rows(licenses.scan(few, known)) == want
+
+
 def test_licences_of_odd_rows(odd, none):
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
     mit = next(t for n, t in licenses.known_texts() if n == "MIT")

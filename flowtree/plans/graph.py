@@ -40,27 +40,28 @@ class Graph:
 
 
 class _Assertions:
-    """Assertions, gathered by the rows that they are made of, so that these are read once however many there are."""
+    """Assertions, gathered by the rows that they are made of and by the kind of what they assert: the rows are read once for each
+    kind's bare assertions and once for its properties, however many there are, and kinds that a query filters out aren't read."""
 
     def __init__(self) -> None:
-        self.by_rows: list[tuple[DataFrame, list[Column]]] = []
-
-    def _add(self, df: DataFrame, key: dict[str, Column], properties: dict[str, Column] | None, order: str | None, where: Column | None) -> None:
-        nothing = F.lit(None).cast("string")
-        there = reduce(lambda x, y: x & y, [c.isNotNull() for c in key.values()] + ([] if where is None else [where]))
-        made = []
-        for name, value in (properties or {None: nothing}).items():
-            fields = [*(c.alias(k) for k, c in key.items()), F.lit(name).cast("string").alias("p"), value.cast("string").alias("x"), _rank(df, order if properties else None).alias("seq")]
-            made.append(F.when(there, F.struct(*fields)))
-        for other, columns in self.by_rows:
-            if other is df:
-                columns += made
+        self.parts: list[tuple[DataFrame, dict[str, str], list[Column], list[Column]]] = []
+
+    def _add(self, df: DataFrame, kind: dict[str, str], values: dict[str, Column], properties: dict[str, Column] | None, order: str | None, where: Column | None) -> None:
+        there = reduce(lambda x, y: x & y, [c.isNotNull() for c in values.values()] + ([] if where is None else [where]))
+        named = [c.cast("string").alias(k) for k, c in values.items()]
+        bare = [] if properties else [F.when(there, F.struct(*named))]
+        made = [F.when(there, F.struct(*named, F.lit(n).alias("p"), x.cast("string").alias("x"), _rank(df, order).alias("seq"))) for n, x in (properties or {}).items()]
+        for other, of, bares, others in self.parts:
+            if other is df and of == kind:
+                bares += bare
+                others += made
                 return
-        self.by_rows.append((df, made))
+        self.parts.append((df, kind, bare, made))
 
-    def rows(self) -> DataFrame | None:
-        parts = [df.select(F.explode(F.array_compact(F.array(*columns))).alias("a")).select("a.*") for df, columns in self.by_rows]
-        return reduce(DataFrame.unionByName, parts) if parts else None
+    def rows(self, which: int) -> DataFrame | None:
+        """Of bare assertions (2): key columns; of properties (3): also p, x and seq, the name, value and place in the order."""
+        made = [r[0].select(F.explode(F.array_compact(F.array(*r[which]))).alias("a")).select(*(F.lit(x).alias(k) for k, x in r[1].items()), "a.*") for r in self.parts if r[which]]
+        return reduce(DataFrame.unionByName, made) if made else None
 
 
 def _rank(df: DataFrame, order: str | None) -> Column:
@@ -74,25 +75,28 @@ class Vertices(_Assertions):
     """Assertions of vertices; ``order`` is the column by which the last row wins, ``where`` says which rows make any."""
 
     def add(self, df: DataFrame, entity: str, key: str, value: Column, properties: dict[str, Column] | None = None, order: str | None = None, where: Column | None = None) -> None:
-        self._add(df, {"entity_type": F.lit(entity), "key_property": F.lit(key), "key_value": value.cast("string")}, properties, order, where)
+        self._add(df, {"entity_type": entity, "key_property": key}, {"key_value": value}, properties, order, where)
 
 
 class Edges(_Assertions):
     def add(self, df: DataFrame, kind: str, source: tuple[str, str, Column], target: tuple[str, str, Column], properties: dict[str, Column] | None = None, order: str | None = None, where: Column | None = None) -> None:
-        ends = {f"{side}_{what}": F.lit(x) if what != "value" else x.cast("string") for side, end in (("source", source), ("target", target)) for what, x in zip(("type", "property", "value"), end)}
-        self._add(df, {"relationship_type": F.lit(kind)} | ends, properties, order, where)
+        kinds = {f"{side}_{what}": x for side, end in (("source", source), ("target", target)) for what, x in zip(("type", "property"), end)}
+        self._add(df, {"relationship_type": kind} | kinds, {"source_value": source[2], "target_value": target[2]}, properties, order, where)
 
 
-def _merge(spark: SparkSession, rows: DataFrame | None, key: list[str], schema: str) -> DataFrame:
-    if rows is None:
+def _merge(spark: SparkSession, found: _Assertions, key: list[str], schema: str) -> DataFrame:
+    bare, rows = found.rows(2), found.rows(3)
+    parts = [] if bare is None else [bare.distinct().withColumn("entry", F.lit(None).cast("struct<p:string,x:string>"))]
+    if rows is not None:
+        last = rows.groupBy(*key, "p").agg(F.max(F.struct("seq", "x")).alias("m"))
+        parts.append(last.select(*key, F.when(F.col("m.x").isNotNull(), F.struct("p", F.col("m.x").alias("x"))).alias("entry")))
+    if not parts:
         return spark.createDataFrame([], schema)
-    last = rows.groupBy(*key, "p").agg(F.max(F.struct("seq", "x")).alias("m"))
-    entry = F.when(F.col("p").isNotNull() & F.col("m.x").isNotNull(), F.struct("p", F.col("m.x").alias("x")))
-    return last.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("properties"))
+    return reduce(DataFrame.unionByName, parts).groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list("entry"))).alias("properties"))
 
 
 def merged(spark: SparkSession, vertices: Vertices, edges: Edges) -> Graph:
-    return Graph(_merge(spark, vertices.rows(), _V, VERTICES), _merge(spark, edges.rows(), _E, EDGES))
+    return Graph(_merge(spark, vertices, _V, VERTICES), _merge(spark, edges, _E, EDGES))
 
 
 @dataclass(frozen=True)

@@ -415,23 +415,23 @@ def tree_functions_of_text(spark, d):
 # functions, types and rows
 
 
-@query("SELECT event_id, date_trunc('second', ts) AS seconds, ['a', 'b', 'c'] AS flat, event_type AS same, TRUE AS hashes, TRUE AS recent, 1546300800000 AS fixed, TIMESTAMP '2016-01-01 00:00:00' AS first_day FROM events")
+@query("SELECT event_id, date_trunc('second', ts) AS seconds, 'a,b,c' AS flat, event_type AS same, TRUE AS hashes, TRUE AS recent, 1546300800000 AS fixed, TIMESTAMP '2016-01-01 00:00:00' AS first_day FROM events")
 def more_functions(spark, d):
     nested = F.array(F.array(F.lit("a")), F.array(F.lit("b"), F.lit("c")))
     e = _t(spark, d, "events")
     now = F.current_timestamp().cast("timestamp_ntz")
     recent = (scalar.now_datetime() <= now) & (scalar.two_weeks_ago_datetime() < now) & scalar.now_milliseconds().rlike(r"^\d{13}$") & (F.length(scalar.now_redshift()) > 20)
     return e.select(
-        "event_id", scalar.seconds_epoch_to_datetime(F.expr("unix_seconds(CAST(ts AS TIMESTAMP))")).cast("timestamp_ntz").alias("seconds"), scalar.flatten(nested, T.ArrayType(T.ArrayType(T.StringType()))).alias("flat"), scalar.nevermind(F.col("event_type")).alias("same"),
+        "event_id", scalar.seconds_epoch_to_datetime(F.expr("unix_seconds(CAST(ts AS TIMESTAMP))")).cast("timestamp_ntz").alias("seconds"), F.array_join(scalar.flatten(nested, T.ArrayType(T.ArrayType(T.StringType()))), ",").alias("flat"), scalar.nevermind(F.col("event_type")).alias("same"),
         ((F.length(scalar.random_hash()) == 32) & (scalar.message_hash(F.struct("event_id")) == F.md5(F.concat(F.lit('{"event_id":'), "event_id", F.lit("}"))))).alias("hashes"), recent.alias("recent"),
         scalar.two_weeks_ago().alias("fixed"), scalar.january_1_2016().alias("first_day"),
     )
 
 
-@query("SELECT event_id, TRY_CAST(event_type AS BIGINT) AS number, user_id AS id, ['STRING'] AS kinds FROM events")
+@query("SELECT event_id, TRY_CAST(event_type AS BIGINT) AS number, user_id AS id, 'STRING' AS kinds FROM events")
 def types_and_casts(spark, d):
     e = _t(spark, d, "events")
-    return e.select("event_id", convert(F.col("event_type"), "int(11)").alias("number"), convert(F.col("user_id").cast("string"), type_from_string("bigint")).cast(e.schema["user_id"].dataType).alias("id"), possible_types(F.col("event_type")).alias("kinds"))
+    return e.select("event_id", convert(F.col("event_type"), "int(11)").alias("number"), convert(F.col("user_id").cast("string"), type_from_string("bigint")).cast(e.schema["user_id"].dataType).alias("id"), F.array_join(possible_types(F.col("event_type")), ",").alias("kinds"))
 
 
 @query("SELECT 'ann' AS name, 7::BIGINT AS n, 2.5::DOUBLE AS share, 'name,n,share' AS fields")

@@ -18,8 +18,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
-    while True:
+    while not _settled(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large: each greater neighbour to the least of the node and its neighbours; e has every node's lesser ones under u
         large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
@@ -30,12 +29,15 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         discard(large)
         discard(e)
         e = new
-        now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == state:
-            break
-        state = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
 def _least(e: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("m"))
+
+
+def _settled(e: DataFrame) -> bool:
+    """Whether edges from greater to lesser nodes are stars: each node is the end of edges, or the start of one."""
+    roles = e.select(F.col("u").alias("node"), F.lit(1).alias("starts"), F.lit(False).alias("ends")).union(e.select("v", F.lit(0), F.lit(True)))
+    seen = roles.groupBy("node").agg(F.sum("starts").alias("starts"), F.max("ends").alias("ends"))
+    return not seen.where("starts > 1 or starts = 1 and ends").limit(1).count()

@@ -182,3 +182,68 @@ def test_samples_of_conflicting_labels_and_repeated_documents(spark):
     labels = spark.createDataFrame([(1, 0), (1, 1), (1, 0), (2, 0), (2, 0), (3, 1), (None, 1), (2, 7)], "doc_id long, toxic int")
     got = [tuple(r) for parts in (1, 7) for r in samples.sample(docs.repartition(parts), labels.repartition(parts), "toxic").orderBy("doc_id").collect()]
     assert len(got) == 4 and got[:2] == got[2:] and [(r[0], r[3]) for r in got[:2]] == [(1, 1), (2, 0)]
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """More rows of each class than a sample would hold; each word w is in two of them, and a repeated document has another text."""
+    rows = [(i, f"w{i // 4 * 2 + i % 2} {'awful' if i % 2 else 'lovely'} w{i // 4 * 2 + i % 2}", "en" if i % 5 else None) for i in range(7200)]
+    docs = spark.createDataFrame([*rows, (8, "lovely again", "en"), (9, None, "en"), (None, "awful", "en"), (7300, "", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([*((i, i % 2) for i in range(7200)), (11, 0), (7300, 0), (9000, 1), (None, 1), (12, 7)], "doc_id long, toxic int")
+    return docs, labels, len({r[1] for r in rows})
+
+
+@pytest.mark.parametrize("shard", [toxicity.SHARD, 30_000])
+def test_toxicity_learns_from_all_labelled_rows(many, shard):
+    import pyarrow as pa
+
+    docs, labels, words = many
+    model = toxicity.train(docs, labels, shard)
+    # both rows of a word are among the three in four that fit the model: 9 of 16; of 2,500 rows a class it would be 0.27
+    assert 0.52 * words < len(model.words) < 0.61 * words
+    assert set(model.by_language) == {"en"}
+    assert toxicity.flags(pa.array(["w3 awful w3", "lovely w2", "awful unheard", "unheard lovely", "", None]), pa.array(["en", "en", None, "xx", "en", None]), model)[1].tolist() == [True, False, True, False, False, False]
+
+
+def same(a, b):
+    assert a.threshold == b.threshold and a.by_language == b.by_language and a.out_bias == b.out_bias and a.shifts == b.shifts
+    for x, y in zip((a.words, a.heads, a.word_vectors, a.head_vectors, a.out, *a.filters.values(), *a.bias.values()), (b.words, b.heads, b.word_vectors, b.head_vectors, b.out, *b.filters.values(), *b.bias.values())):
+        assert np.array_equal(x, y)
+
+
+def test_shards_are_the_same_whatever_the_partitions_and_the_join(many, monkeypatch):
+    from flowtree.llm import labelled as samples
+
+    docs, labels, _ = many
+    model = toxicity.train(docs, labels, 50_000)
+    monkeypatch.setattr(samples, "COPIED", 100)
+    same(model, toxicity.train(docs.repartition(7), labels.repartition(3), 50_000))
+
+
+def test_words_beyond_the_most_share_vectors(many, monkeypatch):
+    import pyarrow as pa
+
+    docs, labels, words = many
+    monkeypatch.setattr(toxicity, "MOST", 1024)
+    model = toxicity.train(docs, labels, 50_000)
+    assert 800 < len(model.words) <= 1024 < words and model.words.max() < 1024
+    assert toxicity.flags(pa.array(["awful", "lovely"]), pa.array(["en", "en"]), model)[1].tolist() == [True, False]
+
+
+def test_shards_without_both_classes_or_tokens_make_no_model(many, spark):
+    docs, labels, _ = many
+    assert toxicity.train(docs, labels.where("toxic = 0"), 50_000) is None
+    assert toxicity.train(docs.withColumn("text", F.lit("... !!! ???")), labels, 20_000) is None
+    one = toxicity.train(docs, labels.where("toxic = 0 or doc_id = 15"), 50_000)  # one toxic row: none can be held out
+    assert one is not None and not one.by_language and 0 <= one.threshold <= 1
+
+
+def test_thresholds_of_shards_come_from_all_held_out_rows(many):
+    import pyarrow as pa
+
+    docs, labels, _ = many
+    docs = docs.where("doc_id between 10 and 7199")
+    model = toxicity.train(docs, labels, 50_000)
+    held = docs.join(labels.where("doc_id != 11 or toxic = 1"), "doc_id").where("pmod(xxhash64(doc_id, 2), 4) = 0 and toxic < 2").toPandas()
+    threshold, by_language = toxicity._thresholds(toxicity.probabilities(pa.array(held.text), model), held.toxic.to_numpy() > 0, held.lang.where(held.lang.notna(), None).tolist())
+    assert 1600 < len(held) < 2000 and model.threshold == pytest.approx(threshold, abs=1e-5) and model.by_language == pytest.approx(by_language, abs=1e-5)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import http.server
 import json
 import threading
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -190,19 +189,17 @@ def http_get_pages(spark, d):
 # streams, run until what is there has been read
 
 
-def _drained(df: DataFrame, folder: str, timeouts: bool = False) -> DataFrame:
-    """What a stream makes of all that is there; one whose state waits for ``timeouts`` is stopped then, as it has no end of its own."""
+def _drained(df: DataFrame, folder: str, timeouts: bool = False, most: float = 3600) -> DataFrame:
+    """What a stream makes of all that is there. One whose state waits for ``timeouts`` has no end of its own and takes all in one batch.
+    A stream that fails, or hasn't ended after ``most`` seconds, raises: there is no result of a part."""
     spark, kind = df.sparkSession, df.schema
     writer = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
-    q = (writer if timeouts else writer.trigger(availableNow=True)).start()
-    until = time.monotonic() + 300
-    while timeouts and q.isActive and time.monotonic() < until and not any(p["batchId"] > 0 and not p["numInputRows"] for p in q.recentProgress):
-        time.sleep(0.2)  # until a batch has found nothing new
-    if not timeouts:
-        q.awaitTermination(300)
-    if q.exception():
-        raise q.exception()
-    q.stop()
+    q = writer.trigger(**{"once" if timeouts else "availableNow": True}).start()
+    try:
+        if not q.awaitTermination(most):  # raises what the stream failed with
+            raise TimeoutError(f"the stream hasn't ended after {most} seconds")
+    finally:
+        q.stop()
     return spark.read.schema(kind).parquet(f"{folder}/out")
 
 

@@ -1,8 +1,11 @@
 import os
 import time
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from flowtree import more_queries
 from flowtree import operators as ops
 from flowtree.streaming import batch_stream, stop_when, watch_directory
 
@@ -59,3 +62,13 @@ def test_stopping_on_a_condition(spark, tmp_path):
     stream = spark.readStream.format("rate").option("rowsPerSecond", 50).load()
     q = stop_when(stream, F.col("value") > 20, lambda df, n: seen.append(df.count()), str(tmp_path / "ck"), max_time=90)
     assert not q.isActive and sum(seen) > 20
+
+
+def test_a_stream_that_fails_or_does_not_end_has_no_result(spark, tmp_path):
+    spark.range(7).write.parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "s"))
+    for k, timeouts in enumerate((False, True)):
+        with pytest.raises(TimeoutError):
+            more_queries._drained(stream, str(tmp_path / f"late{k}"), timeouts, most=0.001)
+        with pytest.raises(StreamingQueryException):
+            more_queries._drained(stream.select(F.raise_error(F.lit("no")).alias("x")), str(tmp_path / f"failed{k}"), timeouts)

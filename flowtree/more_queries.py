@@ -204,8 +204,8 @@ def _drained(df: DataFrame, folder: str, timeouts: bool = False, most: float = 3
 
 
 def _events_stream(spark: SparkSession, d: str) -> DataFrame:
-    e = _t(spark, d, "events")
-    return spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    """The events, be they one file or a folder of files; a path that is a pattern may be either."""
+    return spark.readStream.schema(_t(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
 
 
 @query("SELECT CASE WHEN i < (SELECT count(*) // 100 FROM events) THEN 100 END::INTEGER AS n FROM range((SELECT count(*) // 100 FROM events)) t(i)")

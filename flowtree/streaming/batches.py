@@ -22,22 +22,22 @@ def batch_stream(df: DataFrame, batch_size: int, timeout: float = 5, lanes: int
 
     def gather(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held: list[Any] = list(state.get[0]) if state.exists else []
-        out = []
+        made = lambda batches: pd.DataFrame({"lane": [key[0]] * len(batches), output_key: batches})
         if state.hasTimedOut:
-            out, held = [held], []
             state.remove()
-        else:
-            for frame in frames:
-                held += frame["row"].tolist()
-            while len(held) >= batch_size:
-                out.append(held[:batch_size])
-                held = held[batch_size:]
-            if held:
-                state.update((held,))
-                state.setTimeoutDuration(int(timeout * 1000))
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame({"lane": [key[0]] * len(out), output_key: out})
+            yield made([held])
+            return
+        for frame in frames:  # full batches leave at once, so that no more than one frame and a rest are held
+            held += frame["row"].tolist()
+            full = len(held) - len(held) % batch_size
+            if full:
+                yield made([held[k : k + batch_size] for k in range(0, full, batch_size)])
+                held = held[full:]
+        if held:
+            state.update((held,))
+            state.setTimeoutDuration(int(timeout * 1000))
+        elif state.exists:
+            state.remove()
 
     keyed = df.select(spread.alias("lane"), row.alias("row"))
     return keyed.groupBy("lane").applyInPandasWithState(gather, f"lane long, {output_key} array<string>", "held array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -64,6 +64,25 @@ def test_stopping_on_a_condition(spark, tmp_path):
     assert not q.isActive and sum(seen) > 20
 
 
+def test_batches_of_one_frame_and_over_many(spark, tmp_path):
+    """Each frame's full batches, with a rest that goes into the next frame's and is kept in the state."""
+    spark.range(25_025).coalesce(1).write.parquet(str(tmp_path / "s"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 130)
+    try:
+        out = more_queries._drained(batch_stream(spark.readStream.schema("id long").parquet(str(tmp_path / "s")), 100, timeout=3600, lanes=1), str(tmp_path / "out"), timeouts=True)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [x for r in out.collect() for x in r.batch]
+    assert [len(r.batch) for r in out.collect()] == [100] * 250 and len(set(rows)) == 25_000
+
+
+def test_a_stream_of_a_folder_of_files(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = more_queries.stream_batches(spark, str(tmp_path))
+    assert [r.n for r in got.collect()] == [100] * (events.count() // 100)
+
+
 def test_a_stream_that_fails_or_does_not_end_has_no_result(spark, tmp_path):
     spark.range(7).write.parquet(str(tmp_path / "s"))
     stream = spark.readStream.schema("id long").parquet(str(tmp_path / "s"))

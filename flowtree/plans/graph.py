@@ -39,31 +39,110 @@ class Graph:
         return master_table(self, [(source, relationship, target)])
 
 
+@dataclass
+class _Part:
+    """The assertions that name the same things by the same rows: their values, where these name anything, and the properties set
+    (name, value and place in the order). ``once``: each row names something, and no two the same."""
+
+    df: DataFrame
+    values: dict[str, Column]
+    where: Column | None
+    once: bool
+    properties: list[tuple[str, Column, str | None]] = field(default_factory=list)
+
+    def is_of(self, df: DataFrame, values: dict[str, Column], where: Column | None, bare: bool) -> bool:
+        return self.df is df and bare != bool(self.properties) and all(_same(x, values[k]) for k, x in self.values.items()) and _same(self.where, where)
+
+
+def _same(a: Column | None, b: Column | None) -> bool:
+    return a is b or a is not None and b is not None and bool(a._jc.equals(b._jc))
+
+
 class _Assertions:
-    """Assertions, gathered by the rows that they are made of and by the kind of what they assert: the rows are read once for each
-    kind's bare assertions and once for its properties, however many there are, and kinds that a query filters out aren't read."""
+    """Assertions by the kind of what they assert. Each kind is merged by itself, so that rows hold values alone, without the kind's
+    names, and kinds that a query filters out aren't read. A table is read once for each kind's bare assertions and once for its properties,
+    however many there are."""
 
     def __init__(self) -> None:
-        self.parts: list[tuple[DataFrame, dict[str, str], list[Column], list[Column]]] = []
-
-    def _add(self, df: DataFrame, kind: dict[str, str], values: dict[str, Column], properties: dict[str, Column] | None, order: str | None, where: Column | None) -> None:
-        there = reduce(lambda x, y: x & y, [c.isNotNull() for c in values.values()] + ([] if where is None else [where]))
-        named = [c.cast("string").alias(k) for k, c in values.items()]
-        bare = [] if properties else [F.when(there, F.struct(*named))]
-        made = [F.when(there, F.struct(*named, F.lit(n).alias("p"), x.cast("string").alias("x"), _rank(df, order).alias("seq"))) for n, x in (properties or {}).items()]
-        for other, of, bares, others in self.parts:
-            if other is df and of == kind:
-                bares += bare
-                others += made
-                return
-        self.parts.append((df, kind, bare, made))
-
-    def rows(self, which: int) -> DataFrame | None:
-        """Of bare assertions (2): key columns; of properties (3): also p, x and seq, the name, value and place in the order."""
-        made = [r[0].select(F.explode(F.array_compact(F.array(*r[which]))).alias("a")).select(*(F.lit(x).alias(k) for k, x in r[1].items()), "a.*") for r in self.parts if r[which]]
+        self.kinds: dict[tuple[tuple[str, str], ...], list[_Part]] = {}
+
+    def _add(self, df: DataFrame, kind: dict[str, str], values: dict[str, Column], properties: dict[str, Column] | None, order: str | None, where: Column | None, once: bool = False) -> None:
+        parts = self.kinds.setdefault(tuple(kind.items()), [])
+        part = next((p for p in parts if p.is_of(df, values, where, not properties)), None)
+        if part is None:
+            parts.append(part := _Part(df, values, where, once))
+        part.once &= once
+        part.properties += [(n, x, order) for n, x in (properties or {}).items()]
+
+    def merged(self, key: list[str]) -> DataFrame | None:
+        """A row for each thing: ``key`` and the map of its properties."""
+        made: list[DataFrame] = []
+        lone: list[list[tuple[dict[str, str], _Part]]] = []
+        for kind, parts in self.kinds.items():
+            if len(parts) == 1 and parts[0].once:
+                same = next((x for x in lone if x[0][1].df is parts[0].df), None)
+                if same is None:
+                    lone.append(same := [])
+                same.append((dict(kind), parts[0]))
+            else:
+                made.append(_merged(parts).select(*(F.lit(dict(kind)[k]).alias(k) if k in dict(kind) else k for k in key), "properties"))
+        made += [_unmerged(x, key) for x in lone]
         return reduce(DataFrame.unionByName, made) if made else None
 
 
+def _properties(values: dict[str, Column]) -> Column:
+    none = F.create_map().cast("map<string,string>")
+    return F.map_filter(F.create_map(*(c for n in sorted(values) for c in (F.lit(n), values[n]))), lambda _, x: x.isNotNull()) if values else none
+
+
+def _unmerged(made: list[tuple[dict[str, str], _Part]], key: list[str]) -> DataFrame:
+    """The things of several kinds that the rows of one table name once. Values that these share stay columns, so that rows stay partitioned by them.
+    A kind's names come from conditions on its number, which a filter on them folds, so that rows of kinds filtered out aren't read."""
+    first = made[0][1]
+    shared = [k for k, x in first.values.items() if all(_same(x, p.values[k]) for _, p in made)]
+    own = [F.struct(F.lit(n).alias("kind"), *(x.cast("string").alias(k) for k, x in p.values.items() if k not in shared), _properties({n: x.cast("string") for n, x, _ in p.properties}).alias("properties")) for n, (_, p) in enumerate(made)]
+    rows = first.df.select(*(first.values[k].cast("string").alias(k) for k in shared), F.explode(F.array(*own)).alias("a"))
+
+    def named(k: str) -> Column:
+        names = [kind[k] for kind, _ in made]
+        out = F.lit(names[-1])
+        for n, x in list(enumerate(names[:-1]))[::-1]:
+            out = F.when(F.col("a.kind") == n, x).otherwise(out) if x != names[-1] else out
+        return out
+
+    return rows.select(*(k if k in shared else F.col(f"a.{k}") if k in first.values else named(k).alias(k) for k in key), "a.properties")
+
+
+def _merged(parts: list[_Part]) -> DataFrame:
+    """The things of one kind: values, and properties."""
+    key, names = list(parts[0].values), sorted({n for p in parts for n, *_ in p.properties})
+    whole = lambda v: all(isinstance(p.df.select(p.values[v]).schema[0].dataType, T.IntegralType) for p in parts)
+    kinds = {v: "bigint" if len(key) > 1 and whole(v) else "string" for v in key}  # pairs of numbers take less memory; single names stay partitioned for joins
+    ordered = {n for p in parts for n, _, order in p.properties if order is not None}  # without an order the greatest value is the last
+
+    def named(p: _Part) -> Column:
+        """What a row of the part's table names, with what it sets each property to; null if it names nothing."""
+        there = reduce(lambda x, y: x & y, [c.isNotNull() for c in p.values.values()] + ([] if p.where is None else [p.where]))
+        sets = []
+        for k, n in enumerate(names):
+            mine = [F.struct(_rank(p.df, order).alias("seq"), x.cast("string").alias("x")) if n in ordered else x.cast("string") for m, x, order in p.properties if m == n]
+            none = F.lit(None).cast("struct<seq:struct<d:double,n:decimal(38,9),s:string>,x:string>" if n in ordered else "string")
+            sets.append((none if not mine else mine[0] if len(mine) == 1 else F.greatest(*mine) if n not in ordered else F.array_max(F.array(*mine))).alias(f"p{k}"))
+        return F.when(there, F.struct(*(c.cast(kinds[v]).alias(v) for v, c in p.values.items()), *sets))
+
+    tables: list[tuple[DataFrame, bool, list[Column]]] = []
+    for p in parts:
+        same = next((made for df, bare, made in tables if df is p.df and bare != bool(p.properties)), None)
+        if same is None:
+            tables.append((p.df, not p.properties, same := []))
+        same.append(named(p))
+    read = [df.select((F.explode(F.array_compact(F.array(*made))) if len(made) > 1 else made[0]).alias("a")).where("a IS NOT NULL").select("a.*") for df, _, made in tables]
+    rows = reduce(DataFrame.unionByName, read)
+    rows = rows.groupBy(*key).agg(*(F.max(f"p{k}").alias(f"p{k}") for k in range(len(names)))) if names else rows.distinct()
+    properties = _properties({n: F.col(f"p{k}.x" if n in ordered else f"p{k}") for k, n in enumerate(names)})
+    return rows.select(*(F.col(k).cast("string").alias(k) for k in key), properties.alias("properties"))
+
+
 def _rank(df: DataFrame, order: str | None) -> Column:
     """What rows are ordered by, alike for all tables: numbers by value (as doubles, then with all their digits), anything else as text, which dates and timestamps sort by too."""
     c = F.lit(None).cast("string") if order is None else F.col(f"`{order}`")
@@ -72,31 +151,21 @@ def _rank(df: DataFrame, order: str | None) -> Column:
 
 
 class Vertices(_Assertions):
-    """Assertions of vertices; ``order`` is the column by which the last row wins, ``where`` says which rows make any."""
+    """Assertions of vertices; ``order`` is the column by which the last row wins, ``where`` says which rows make any, ``once`` that no two make the same."""
 
-    def add(self, df: DataFrame, entity: str, key: str, value: Column, properties: dict[str, Column] | None = None, order: str | None = None, where: Column | None = None) -> None:
-        self._add(df, {"entity_type": entity, "key_property": key}, {"key_value": value}, properties, order, where)
+    def add(self, df: DataFrame, entity: str, key: str, value: Column, properties: dict[str, Column] | None = None, order: str | None = None, where: Column | None = None, once: bool = False) -> None:
+        self._add(df, {"entity_type": entity, "key_property": key}, {"key_value": value}, properties, order, where, once)
 
 
 class Edges(_Assertions):
-    def add(self, df: DataFrame, kind: str, source: tuple[str, str, Column], target: tuple[str, str, Column], properties: dict[str, Column] | None = None, order: str | None = None, where: Column | None = None) -> None:
+    def add(self, df: DataFrame, kind: str, source: tuple[str, str, Column], target: tuple[str, str, Column], properties: dict[str, Column] | None = None, order: str | None = None, where: Column | None = None, once: bool = False) -> None:
         kinds = {f"{side}_{what}": x for side, end in (("source", source), ("target", target)) for what, x in zip(("type", "property"), end)}
-        self._add(df, {"relationship_type": kind} | kinds, {"source_value": source[2], "target_value": target[2]}, properties, order, where)
-
-
-def _merge(spark: SparkSession, found: _Assertions, key: list[str], schema: str) -> DataFrame:
-    bare, rows = found.rows(2), found.rows(3)
-    parts = [] if bare is None else [bare.distinct().withColumn("entry", F.lit(None).cast("struct<p:string,x:string>"))]
-    if rows is not None:
-        last = rows.groupBy(*key, "p").agg(F.max(F.struct("seq", "x")).alias("m"))
-        parts.append(last.select(*key, F.when(F.col("m.x").isNotNull(), F.struct("p", F.col("m.x").alias("x"))).alias("entry")))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, parts).groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list("entry"))).alias("properties"))
+        self._add(df, {"relationship_type": kind} | kinds, {"source_value": source[2], "target_value": target[2]}, properties, order, where, once)
 
 
 def merged(spark: SparkSession, vertices: Vertices, edges: Edges) -> Graph:
-    return Graph(_merge(spark, vertices, _V, VERTICES), _merge(spark, edges, _E, EDGES))
+    made = [a.merged(key) for a, key in ((vertices, _V), (edges, _E))]
+    return Graph(*(spark.createDataFrame([], schema) if m is None else m for m, schema in zip(made, (VERTICES, EDGES))))
 
 
 @dataclass(frozen=True)

@@ -97,3 +97,23 @@ def test_a_table_is_read_twice_at_most_for_each_kind(spark, tmp_path):
 
     assert reads(g.vertices.where("entity_type = 'Person'")) == 2 and reads(g.vertices.where("entity_type = 'Item'")) == 1
     assert reads(g.edges.where("relationship_type = 'Rented'")) == 2 and reads(g.edges.where("relationship_type = 'R0'")) == 1
+
+
+def test_edges_take_one_aggregation_of_numbers(spark):
+    df = spark.createDataFrame([(1, 10), (1, 10)], "person_id int, item_id bigint")
+    edges = graph.Edges()
+    edges.add(df, "Rented", ("Person", "ID", df.person_id), ("Item", "ID", df.item_id))
+    edges.add(df.select("person_id", "item_id"), "Rented", ("Person", "ID", df.person_id), ("Item", "ID", df.item_id))
+    e = graph.merged(spark, graph.Vertices(), edges).edges
+    plan = e._jdf.queryExecution().sparkPlan().toString()
+    assert "Rented" not in plan.partition("Aggregate")[2] and "collect_list" not in plan
+    assert [(r.source_value, r.target_value, r.properties) for r in e.collect()] == [("1", "10", {})]
+
+
+def test_texts_and_numbers_are_merged_as_texts(spark):
+    edges = graph.Edges()
+    for rows, kind in (([(1, 2), (3, 4)], "a int, b int"), ([("1", "2"), ("x", "4")], "a string, b string")):
+        df = spark.createDataFrame(rows, kind)
+        edges.add(df, "E", ("A", "ID", df.a), ("B", "ID", df.b), {"p": df.a} if kind == "a int, b int" else None)
+    got = {(r.source_value, r.target_value): r.properties for r in graph.merged(spark, graph.Vertices(), edges).edges.collect()}
+    assert got == {("1", "2"): {"p": "1"}, ("3", "4"): {"p": "3"}, ("x", "4"): {}}

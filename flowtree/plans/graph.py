@@ -138,7 +138,10 @@ def _merged(parts: list[_Part]) -> DataFrame:
         same.append(named(p))
     read = [df.select((F.explode(F.array_compact(F.array(*made))) if len(made) > 1 else made[0]).alias("a")).where("a IS NOT NULL").select("a.*") for df, _, made in tables]
     rows = reduce(DataFrame.unionByName, read)
-    rows = rows.groupBy(*key).agg(*(F.max(f"p{k}").alias(f"p{k}") for k in range(len(names)))) if names else rows.distinct()
+    if not ordered:
+        rows = rows.distinct()  # by a hash; the greatest are found by a sort, which would hold every row that repeats what others say
+    if names:  # max_by, as Catalyst drops a distinct() below max
+        rows = rows.groupBy(*key).agg(*(F.max(f"p{k}").alias(f"p{k}") if ordered else F.max_by(f"p{k}", f"p{k}").alias(f"p{k}") for k in range(len(names))))
     properties = _properties({n: F.col(f"p{k}.x" if n in ordered else f"p{k}") for k, n in enumerate(names)})
     return rows.select(*(F.col(k).cast("string").alias(k) for k in key), properties.alias("properties"))
 

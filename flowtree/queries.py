@@ -36,7 +36,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 def _orders(spark: SparkSession, d: str) -> DataFrame:
     """A document for each order, as a struct: {order: {okey, status, items: [{line, qty, part}]}}."""
     items = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty"), F.col("l_partkey").alias("part"))).alias("items"))
-    own = _t(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    own = _t(spark, d, "orders").hint("shuffle_hash").join(items, F.col("o_orderkey") == F.col("l_orderkey"))  # a sort would hold all items of a task
     return own.select(F.struct(F.struct(F.col("o_orderkey").alias("okey"), F.col("o_orderstatus").alias("status"), "items").alias("order")).alias("doc"))
 
 

@@ -331,13 +331,15 @@ def _assert(a: Assertion, df: DataFrame, order: str | None, vertices: Vertices,
         extra = {a.relationship_property_type: _value(a, a.relationship_property_column)} if a.kind == "relationship_property" else None
         edges.add(df, a.relationship_type, *ends, extra, order)
     elif a.kind == "compound_name":
-        parts = [(x["entity_type"], x["entity_name_property"], col(x["column_name"])) for x in a.components]
-        ident = F.sha2(F.to_json(F.array(*(p[2].cast("string") for p in parts))), 256)
-        there = reduce(lambda x, y: x & y, (p[2].isNotNull() for p in parts))
-        vertices.add(df, a.entity_type, "uuid", ident, where=there)
+        there = reduce(lambda x, y: x & y, (col(x["column_name"]).isNotNull() for x in a.components))
+        each = df.where(there).select(*(col(x["column_name"]).cast("string").alias(f"c{k}") for k, x in enumerate(a.components))).distinct()  # narrow rows, before they get a hash
+        parts = [(x["entity_type"], x["entity_name_property"], F.col(f"c{k}")) for k, x in enumerate(a.components)]
+        each = each.withColumn("uuid", F.sha2(F.to_json(F.array(*(p[2] for p in parts))), 256)).repartition("uuid")  # all that is of a compound is in one place
+        ident = F.col("uuid")
+        vertices.add(each, a.entity_type, "uuid", ident, once=True)
         for k, (x, part) in enumerate(zip(a.components, parts)):
-            vertices.add(df, *part, where=there)
-            edges.add(df, f"R{k}", part, (a.entity_type, "uuid", ident), {"component": F.lit(x.get("type"))} if x.get("type") else None, where=there)
+            vertices.add(df, *part[:2], col(x["column_name"]), where=there)
+            edges.add(each, f"R{k}", part, (a.entity_type, "uuid", ident), {"component": F.lit(x.get("type"))} if x.get("type") else None, once=True)
     elif a.kind == "coreference":
         ends = [(getattr(a, f"{side}_entity_type"), getattr(a, f"{side}_name_property"), col(getattr(a, f"{side}_entity_name_column"))) for side in ("source", "target")]
         edges.add(df, "SAME_AS", *ends)

@@ -99,6 +99,20 @@ def test_a_table_is_read_twice_at_most_for_each_kind(spark, tmp_path):
     assert reads(g.edges.where("relationship_type = 'Rented'")) == 2 and reads(g.edges.where("relationship_type = 'R0'")) == 1
 
 
+def test_rows_hold_no_names_of_kinds_and_compounds_meet_in_one_shuffle(spark):
+    """Names of kinds, repeated in each row, and a further shuffle for what is grouped by a compound, made up most of what was shuffled."""
+    df = spark.createDataFrame([(1, 10), (1, 10), (2, 10), (None, 3)], "a int, b int")
+    parts = [{"type": t, "column_name": c, "entity_type": t, "entity_name_property": "ID"} for t, c in (("A", "a"), ("B", "b"))]
+    config = {"t": {"data_config": [{"compound_name": {"entity_type": "Both", "components": parts}}]}}
+    e = graph.TableModel.from_config(config).to_graph({"t": df}).edges
+    plan = e.groupBy("target_value").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2 and "Exchange hashpartitioning(relationship_type" not in plan
+    got = sorted((r.relationship_type, r.source_type, r.source_value, r.target_type, r.properties["component"]) for r in e.collect())
+    assert got == [("R0", "A", "1", "Both", "A"), ("R0", "A", "2", "Both", "A"), ("R1", "B", "10", "Both", "B"), ("R1", "B", "10", "Both", "B")]
+    twice = graph.TableModel.from_config({"t": config["t"], "u": config["t"]}).to_graph({"t": df, "u": df.where("a = 1")}).edges
+    assert sorted((r.relationship_type, r.source_type, r.source_value, r.target_type, r.properties["component"]) for r in twice.collect()) == got
+
+
 def test_edges_take_one_aggregation_of_numbers(spark):
     df = spark.createDataFrame([(1, 10), (1, 10)], "person_id int, item_id bigint")
     edges = graph.Edges()

@@ -8,14 +8,16 @@ A query is one expression of nested higher-order functions with one generator at
 nothing is shuffled, and what leaves the generator is the retrieved values alone. There are two forms of it:
 
 - columns of structs and arrays are expanded over the schema when the plan is made, and read within the JVM;
-- JSON text (and variants, maps) becomes an array of nodes by document in one Arrow pass, in pre-order, so that a
-  node's descendants are a slice.
+- JSON text (and variants, maps) is read in one Arrow pass, in which the chain is followed too, over nodes in pre-order, so
+  that a node's descendants are a slice; what leaves the pass is the retrieved values. With conditions of other modules the
+  pass gives all nodes of a document, as an array, and expressions follow the chain.
 
 In the first form a field that is null counts as a present key, as the schema says it is there.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -111,6 +113,119 @@ def nodes(text: Column, with_paths: bool = True) -> Column:
     return F.arrow_udf(_parse if with_paths else _parse_without_paths, NODES)(text)
 
 
+class _Doc:
+    """A document's nodes in pre-order; the greatest number below each, its depth, what is above it and its path from there. ``all_kinds``: scalars too."""
+
+    def __init__(self, root: object, all_kinds: bool) -> None:
+        self.values, self.parents, self.steps, self.lasts = [], [], [], []
+        left: list[tuple] = [(root, -1, None)]
+        while left:
+            x, parent, step = left.pop()
+            nid = len(self.values)
+            self.values.append(x)
+            self.parents.append(parent)
+            self.steps.append(step)
+            self.lasts.append(nid)
+            if type(x) is dict:
+                left += [(v, nid, k) for k, v in reversed(x.items()) if all_kinds or type(v) in _INNER]
+            elif type(x) is list:
+                left += [(x[i], nid, i) for i in range(len(x) - 1, -1, -1) if all_kinds or type(x[i]) in _INNER]
+        for nid in range(len(self.values) - 1, 0, -1):
+            up = self.parents[nid]
+            if self.lasts[nid] > self.lasts[up]:
+                self.lasts[up] = self.lasts[nid]
+
+    def above(self, nid: int) -> list[int]:
+        """Nearest first."""
+        out = []
+        while (nid := self.parents[nid]) >= 0:
+            out.append(nid)
+        return out
+
+    def path(self, nid: int) -> list[str]:
+        return [str(self.steps[i]) for i in reversed([nid, *self.above(nid)][:-1])]
+
+
+_INNER = (dict, list)
+
+
+def _text(x: object) -> str | None:
+    """A value as the text that _walk gives it."""
+    kind = type(x)
+    return x if kind is str or x is None else int.__repr__(x) if kind is int else json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+
+
+class _Follower:
+    """Follows a chain through documents: of each the rows of retrieved values, as texts; null if it isn't JSON."""
+
+    def __init__(self, steps: tuple[Step, ...], out: Outputs) -> None:
+        self.steps = [(s.direction, s.wanted()) for s in steps]
+        at = {s.label: k for k, s in enumerate(steps)}
+        self.gets = [[(j, path) for j, (label, path) in enumerate(out.values()) if at[label] == k] for k in range(len(steps))]
+        self.width = len(out)
+        self.all_kinds = any(d != "up" and c.of_scalars() for d, c in self.steps) or any(c.looks_at_scalars() for _, c in self.steps)
+
+    def of(self, root: object, columns: list[list]) -> int:
+        """Appends the rows of a document, column by column, and returns their number."""
+        doc, before = _Doc(root, self.all_kinds), len(columns[0])
+        found: list[list[int] | None] = [None] * len(self.steps)
+        row: list[str | None] = [None] * self.width
+
+        def follow(k: int, at: int) -> None:
+            direction, condition = self.steps[k]
+            if direction == "down":
+                if found[k] is None:
+                    found[k] = [n for n in range(len(doc.values)) if condition.holds(doc, n)]
+                among = found[k][bisect.bisect_right(found[k], at) : bisect.bisect_right(found[k], doc.lasts[at])]
+            else:
+                among = [n for n in (doc.above(at) if direction == "up" else [at]) if condition.holds(doc, n)]
+            for n in among:
+                for j, path in self.gets[k]:
+                    x = doc.values[n]
+                    for key in path:
+                        x = x.get(key) if type(x) is dict else None
+                    row[j] = _text(x)
+                if k + 1 < len(self.steps):
+                    follow(k + 1, n)
+                else:
+                    for column, x in zip(columns, row):
+                        column.append(x)
+
+        follow(0, 0)
+        return len(columns[0]) - before
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        columns: list[list] = [[] for _ in range(self.width)]
+        sizes, missing = [0], []
+        for text in texts.to_pylist():
+            n = None
+            try:
+                n = None if text is None else self.of(_read(text), columns)
+            except (ValueError, RecursionError):  # not JSON, or nested beyond what the parser reads or the encoder writes
+                for column in columns:
+                    del column[sizes[-1] :]
+            missing.append(n is None)
+            sizes.append(sizes[-1] + (n or 0))
+        flat = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], [f"c{j}" for j in range(self.width)])
+        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat, mask=pa.array(missing, pa.bool_()))
+
+
+def _followed(f: _Follower) -> Callable[[pa.Array], pa.Array]:
+    def rows(texts: pa.Array) -> pa.Array:
+        return f(texts)
+
+    return rows
+
+
+def _own(x: object) -> bool:
+    """Whether all conditions in steps are of this module, which can be followed in Python."""
+    if isinstance(x, Condition) and type(x).__module__ != __name__:
+        return False
+    if isinstance(x, (list, tuple)):
+        return all(map(_own, x))
+    return not hasattr(x, "__dict__") or isinstance(x, Column) or all(map(_own, vars(x).values()))
+
+
 def splitter(df: DataFrame, key: str) -> DataFrame:
     """A row for each node of each row's document, with its id, kind, path and value, beside the other columns."""
     text = _as_text(df, key)
@@ -190,6 +305,18 @@ class Condition:
         """A column, or a boolean where the schema decides."""
         raise NotImplementedError
 
+    def holds(self, doc: _Doc, n: int) -> bool:
+        """Of a node of a document that is read in Python."""
+        raise NotImplementedError
+
+    def of_scalars(self) -> bool:
+        """Whether it may hold for a scalar."""
+        return True
+
+    def looks_at_scalars(self) -> bool:
+        """Whether it depends on scalars among other nodes."""
+        return any(c.looks_at_scalars() for c in vars(self).values() if isinstance(c, Condition))
+
     def __and__(self, other: Condition) -> Condition:
         return And(self, other)
 
@@ -223,6 +350,12 @@ class And(Condition):
     def of_place(self, p):
         return _both(self.a.of_place(p), self.b.of_place(p))
 
+    def holds(self, doc, n):
+        return self.a.holds(doc, n) and self.b.holds(doc, n)
+
+    def of_scalars(self):
+        return self.a.of_scalars() and self.b.of_scalars()
+
 
 @dataclass(frozen=True)
 class Not(Condition):
@@ -235,6 +368,9 @@ class Not(Condition):
         x = self.a.of_place(p)
         return (not x) if isinstance(x, bool) else ~x
 
+    def holds(self, doc, n):
+        return not self.a.holds(doc, n)
+
 
 @dataclass(frozen=True)
 class Yes(Condition):
@@ -244,6 +380,9 @@ class Yes(Condition):
     def of_place(self, p):
         return True
 
+    def holds(self, doc, n):
+        return True
+
 
 @dataclass(frozen=True)
 class HasKey(Condition):
@@ -257,6 +396,12 @@ class HasKey(Condition):
     def of_place(self, p):
         return p.col.isNotNull() if isinstance(p.kind, T.StructType) and self.key in p.kind.names else False
 
+    def holds(self, doc, n):
+        return type(doc.values[n]) is dict and self.key in doc.values[n]
+
+    def of_scalars(self):
+        return False
+
 
 @dataclass(frozen=True)
 class _Kind(Condition):
@@ -266,6 +411,12 @@ class _Kind(Condition):
     def of_place(self, p):
         return p.col.isNotNull() if isinstance(p.kind, self.spark) else False
 
+    def holds(self, doc, n):
+        return _KINDS.get(type(doc.values[n])) == self.kind
+
+    def of_scalars(self):
+        return False
+
 
 @dataclass(frozen=True)
 class IsList(_Kind):
@@ -285,6 +436,9 @@ class IsRoot(Condition):
     def of_place(self, p):
         return not p.above
 
+    def holds(self, doc, n):
+        return n == 0
+
 
 @dataclass(frozen=True)
 class PathEndsIn(Condition):
@@ -301,6 +455,9 @@ class PathEndsIn(Condition):
     def of_place(self, p):
         return p.keys[-len(self.path) :] == tuple(self.path) if self.path else not p.above
 
+    def holds(self, doc, n):
+        return doc.path(n)[-len(self.path) :] == [str(x) for x in self.path] if self.path else n == 0
+
 
 @dataclass(frozen=True)
 class HasDescendant(Condition):
@@ -321,6 +478,15 @@ class HasDescendant(Condition):
             found = one if found is False else found | one
         return found
 
+    def holds(self, doc, n):
+        return any(self.condition.holds(doc, x) for x in range(n + 1, doc.lasts[n] + 1))
+
+    def of_scalars(self):
+        return False
+
+    def looks_at_scalars(self):
+        return self.condition.of_scalars() or self.condition.looks_at_scalars()
+
 
 @dataclass(frozen=True)
 class HasAncestor(Condition):
@@ -339,6 +505,9 @@ class HasAncestor(Condition):
                 found = x if found is False else found | x
         return found
 
+    def holds(self, doc, n):
+        return any(self.condition.holds(doc, x) for x in doc.above(n))
+
 
 def _column(x: Column | bool) -> Column:
     return F.lit(x) if isinstance(x, bool) else F.coalesce(x, F.lit(False))
@@ -444,6 +613,10 @@ class Relation:
         kept = [f"`{c}`" for c in keep or []]
         if isinstance(kind, (T.StructType, T.ArrayType)):
             return _unpacked(df, kept, self._typed(Place(df[f"`{key}`"], kind), steps, out))
+        if out and _own(steps):
+            rows = F.arrow_udf(_followed(_Follower(steps, out)), "array<struct<" + ",".join(f"c{j}:string" for j in range(len(out))) + ">>")(_as_text(df, key))
+            each = df.select(*kept, F.explode(rows).alias("__row"))
+            return each.select(*kept, *(F.col(f"__row.c{j}").try_cast(self.types.get(o, "string")).alias(o) for j, o in enumerate(out)))
         parsed = df.select(*kept, nodes(_as_text(df, key), _reads_paths(steps)).alias("__nodes"))
         rows = self._parsed(F.col("__nodes"), steps, out)
         return _unpacked(parsed, kept, F.when(F.col("__nodes").isNotNull(), rows))

@@ -179,3 +179,24 @@ def test_documents_nested_deep_and_with_halves_of_characters(spark):
     assert len(of[1]) == 1501 and {r.last for r in of[1]} == {1500} and of[1][-1].v == "7"
     assert not of[2] and not of[4] and not of[5]
     assert {r.key: r.v for r in of[3] if r.key} == {"a": "\ufffd", "b": "\U0001f600"} and {r.key: r.v for r in of[6] if r.key} == {"a": "kept \\ud800"}
+
+
+def test_json_is_followed_as_nodes_are(spark, monkeypatch):
+    """The pass that reads documents follows the chain; the nodes and expressions that other modules' conditions need give the same."""
+    from flowtree.plans import tree
+
+    texts = ['{"a": {"k": 1, "b": [{"k": null, "v": 1.50}, {"k": [1, {"v": "x"}]}, 7, []]}, "k": {"v": true}}', '[{"k": {"k": {"v": {"y": 1}}}}, "s"]', "3", "null", '{"k": NaN, "v": "\\u00e9"}', "{", None, '{"k": 1, "k": {"v": 123456789012345678901}}']
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, doc string")
+    k, v = tree.HasKey("k"), tree.HasKey("v")
+    conditions = [k, ~k, tree.Yes(), k & tree.HasDescendant(v), tree.HasAncestor(k) & ~tree.IsList(), tree.IsDictionary() | tree.IsRoot(), tree.PathEndsIn(["b", "0"]), tree.PathEndsIn([]), k.xor(v), tree.HasDescendant(~tree.IsDictionary()), tree.HasDescendant(tree.HasAncestor(k))]
+    for c in conditions:
+        for chain in (tree.go_down(c, "x"), tree.stay_here("r").then(tree.go_down(k, "x")).then(tree.go_up(c, "y")), tree.go_down(c, "x").then(tree.go_down(v, "y")), tree.stay_here("x", c), tree.go_down(tree.Yes(), "x").then(tree.go_up(~c, "y"))):
+            last = "y" if len(chain.all_traversals()) > 1 else "x"
+            r = tree.Relation("r", chain, {"node": ("x", ()), "k": ("x", ("k",)), "v": (last, ("k", "v")), "n_of": (last, ("v",))}, {"n_of": "double"})
+            now = r.to_df(df, "doc", ["n"])
+            assert "nid" not in now._jdf.queryExecution().analyzed().toString() and "c0" in now._jdf.queryExecution().analyzed().toString()
+            with monkeypatch.context() as m:
+                m.setattr(tree, "_own", lambda steps: False)
+                then = r.to_df(df, "doc", ["n"])
+            if c in conditions[::3]:
+                assert sorted(map(repr, now.collect())) == sorted(map(repr, then.collect())), (c, chain)

@@ -131,3 +131,17 @@ def test_texts_and_numbers_are_merged_as_texts(spark):
         edges.add(df, "E", ("A", "ID", df.a), ("B", "ID", df.b), {"p": df.a} if kind == "a int, b int" else None)
     got = {(r.source_value, r.target_value): r.properties for r in graph.merged(spark, graph.Vertices(), edges).edges.collect()}
     assert got == {("1", "2"): {"p": "1"}, ("3", "4"): {"p": "3"}, ("x", "4"): {}}
+
+
+def test_documents_of_orders_take_no_sort_and_repeated_properties_go_first(spark):
+    from flowtree import queries
+
+    d = "/root/testdata/sf0.001"
+    with_orders = queries._orders(spark, d)._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in with_orders and "SortMergeJoin" not in with_orders
+    df = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (1, None), (2, None)], "k int, v string")
+    v = graph.Vertices()
+    v.add(df, "K", "ID", df.k, {"V": df.v})
+    made = graph.merged(spark, v, graph.Edges()).vertices
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 2
+    assert {r.key_value: r.properties for r in made.collect()} == {"1": {"V": "y"}, "2": {}}
